@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import packing, url_filter, warc
+from keyloom.llm import decontaminate, packing, simhash, url_filter, warc
 from keyloom.llm._shared import table
 
 URL_RULES = (
@@ -65,16 +65,50 @@ FROM s LEFT JOIN m ON m.rn = s.rn AND m.k = 1
 """
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+OP7_SQL = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+dw AS (SELECT row_number() OVER () AS rn, doc_id,
+              regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, fold),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, fold),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n,
+               unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS s
+        FROM bw WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM win),
+dwin AS (SELECT rn, n, unnest(range(1, len(w) - n + 2)) AS i,
+                unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS s
+         FROM dw, ns WHERE len(w) >= n),
+hit AS (SELECT rn, dwin.n, i, item FROM dwin JOIN win ON win.n = dwin.n AND win.s = dwin.s),
+words AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rn),
+items AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rn, item FROM hit) GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)
+"""
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
+    "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op3_url_filter": OP3_SQL,
+    "op7_decontaminate": OP7_SQL,
 }
