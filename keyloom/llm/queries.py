@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, packing, simhash, url_filter, warc
-from keyloom.llm._shared import table
+from keyloom.llm import decontaminate, language_id, mpeg_audio, packing, simhash, url_filter, warc
+from keyloom.llm._shared import key_fold, table
 
 URL_RULES = (
     ("block", "com/en/"),
@@ -100,12 +100,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.identify(docs, key_fold(F.col("doc_id"), 4) != 2)
+    return out.select("doc_id", (key_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mpeg_audio.round_trip(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
+    "op10_mpeg_audio": op10_mpeg_audio,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
