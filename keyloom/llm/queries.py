@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, language_id, mpeg_audio, packing, simhash, url_filter, warc
+from keyloom.llm import decontaminate, language_id, line_templates, mpeg_audio, packing, pii, simhash, toxicity, url_filter, warc
 from keyloom.llm._shared import key_fold, table
 
 URL_RULES = (
@@ -19,6 +19,9 @@ URL_RULES = (
 )
 
 
+PII_KEY = "a key is passed in by whoever runs the operator"
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -70,6 +73,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), key_fold(F.col("__id"), 5) != 0)
+    out = toxicity.score(docs, net)
+    return out.select("doc_id", (key_fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity_score").alias("score"), (F.col("toxicity_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
@@ -115,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
+    "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_line_templates": op6_line_templates,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
