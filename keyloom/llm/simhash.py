@@ -36,38 +36,54 @@ LEAF = 384
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of ASCII-lower-cased, white-space-separated words' shingles (repeats included); 0 without words."""
+def remixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hash values of the k-th fingerprint: the hashes themselves for 0, else as good as another seed's."""
+    if k == 0:
+        return hashes
+    x = hashes * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) | 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42, count: int = 1) -> list[int]:
+    """SimHashes of ASCII-lower-cased, white-space-separated words' shingles (repeats included); 0 without words."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return [0] * count
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if n == 1:
-        return digest(joined, seed)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(sizes)
-    starts = (ends - sizes)[:n].tolist()
-    stops = (ends[shingle - 1 :] - 1).tolist()
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        counts += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+        hashes = np.array([digest(joined, seed)], np.uint64)
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(sizes)
+        starts = (ends - sizes)[:n].tolist()
+        stops = (ends[shingle - 1 :] - 1).tolist()
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+    out = []
+    for k in range(count):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, n, 1 << 16):
+            some = remixed(hashes[at : at + (1 << 16)], k)
+            counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
+    """(doc_id, fp, fp_1, ...): fingerprints as signed longs."""
+    names = ["fp", *(f"fp_{k}" for k in range(1, count))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), shingle, seed, count) for t in batch.column(1)], np.uint64).reshape(-1, count)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(count))], names=["doc_id", *names])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, fp long")
+    return source.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{n} long" for n in names)]))
 
 
 # ---- vantage-point trees --------------------------------------------------------------------------------------------
@@ -200,14 +216,26 @@ def links(points: DataFrame, distance: int = 2, *, shard_points: int = 8192, sam
     return dealt.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
-    marked = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, distance: int = 2, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, count: int = 1) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; linked if any of `count` fingerprints are within distance.
+
+    The nodes are the values of the first fingerprint. Another one's links lead to the least first fingerprint that has
+    its value, and values of the first that share one of another are linked to that least one.
+    """
+    marked = written(fingerprints(docs, doc_id, text, shingle, count=count), "fingerprints")
     points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    roots = components(links(points, distance))
+    edges = links(points, distance)
+    for k in range(1, count):
+        held = marked.select(F.col(f"fp_{k}").alias("other"), "fp").distinct()
+        least = written(held.groupBy("other").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "points")
+        found = links(least.select(F.col("other").alias("fp")), distance)
+        to = lambda c: least.select(F.col("other").alias(c), F.col("least").alias(f"{c}_to"))  # noqa: E731, B023
+        edges = edges.unionAll(found.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
+        edges = edges.unionAll(held.join(least.filter("least < most"), "other").select(F.col("least").alias("a"), F.col("fp").alias("b")))
+    roots = components(edges)
     named = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "root").select(F.col("fp").alias("point"), "component_id")
+    least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    classes = named.join(least_id, "root").select(F.col("fp").alias("point"), "component_id")
     return marked.join(classes, F.col("fp") == F.col("point")).select("doc_id", "fp", "component_id")
 
 
