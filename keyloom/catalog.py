@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from keyloom.operators import zsets
+from keyloom.plans import list_string_queries, set_hash_queries, zset_queries  # noqa: F401  they register their queries
+from keyloom.plans.views import ORACLES, QUERIES, zst
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    w = W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), F.desc("c_custkey"))
-    ranked = c.select(F.col("c_nationkey").alias("key"), F.col("c_custkey").alias("member"), F.col("c_acctbal").alias("score"), (F.row_number().over(w) - 1).alias("rank"))
-    return ranked.filter("rank <= 9")
+    return zsets.zrange(zst(spark, sf_dir), 0, 9, reverse=True)

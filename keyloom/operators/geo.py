@@ -16,26 +16,19 @@ STEP = 26
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "mi": 1609.34}
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
-SPREADS = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
-
 
 def _shift(c: Column, n: int) -> Column:
     return F.call_function("shiftleft", c, F.lit(n)) if n >= 0 else F.call_function("shiftright", c, F.lit(-n))
 
 
 def spread(x: Column) -> Column:
-    """Bits of a 32-bit number moved to the even places."""
-    for n, mask in SPREADS:
-        x = x.bitwiseOR(_shift(x, n)).bitwiseAND(F.lit(mask))
-    return x
+    """Bits of a number moved to the even places; the number is named once, so plans stay small."""
+    return F.conv(F.regexp_replace(F.bin(x), "(.)", "0$1"), 2, 10).cast("bigint")
 
 
 def squash(x: Column) -> Column:
-    """Inverse of spread."""
-    x = x.bitwiseAND(F.lit(SPREADS[-1][1]))
-    for (n, _), (_, mask) in zip(reversed(SPREADS), [*reversed(SPREADS[:-1]), (32, 0x00000000FFFFFFFF)], strict=True):
-        x = x.bitwiseOR(_shift(x, -n)).bitwiseAND(F.lit(mask))
-    return x
+    """Inverse of spread: the even places' bits."""
+    return F.conv(F.regexp_replace(F.lpad(F.bin(x), 64, "0"), ".(.)", "$1"), 2, 10).cast("bigint")
 
 
 def cell(lon: Column, lat: Column, step: int = STEP, lat_max: float = LAT_MAX) -> Column:
