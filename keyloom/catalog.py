@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.operators import zsets
-from keyloom.plans import json_sketch_queries, key_stream_queries, list_string_queries, set_hash_queries, zset_queries  # noqa: F401  they register their queries
+from keyloom.plans import json_sketch_queries, key_stream_queries, list_string_queries, set_hash_queries, streaming_queries, zset_queries  # noqa: F401  they register their queries
 from keyloom.plans.views import ORACLES, QUERIES, zst
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
