@@ -41,6 +41,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS, ARROW_BYTES = "1000", "8m"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound what a task holds of texts between the JVM and Python, in Arrow's rounded-up buffers on both sides."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

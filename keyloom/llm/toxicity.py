@@ -26,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm._shared import small_batches
 from keyloom.llm.language_id import grams, words_of
 from keyloom.llm.packing import slices
 
 GRAM_ROWS = 1 << 15
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 8, 8
+BATCH, LEAST_STEPS = 192, 40
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -255,9 +257,10 @@ def train(texts: list[str], toxic: list[int], *, window: int, stride: int, round
         if score is not None and weight.sum() > 0:  # repeat positives, so that both labels weigh alike
             times = max(1, int((1 - weight).sum() // weight.sum()))
             chosen = np.concatenate([chosen, *[chosen[weight == 1]] * (times - 1)])
+        chosen = np.tile(chosen, max(1, -(-LEAST_STEPS * BATCH // len(chosen))))  # small samples are gone over more often
         rng.shuffle(chosen)
-        for b in range(0, len(chosen), 192):
-            some = chosen[b : b + 192]
+        for b in range(0, len(chosen), BATCH):
+            some = chosen[b : b + BATCH]
             local, at = np.unique(index[some], return_inverse=True)
             at = at.reshape(len(some), window)
             word = np.where(rng.random(len(local)) < 0.3, 0, ids[local])
@@ -308,24 +311,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, *, doc_id: str = "doc
         return None
     share = F.when(F.col("y") == 1, F.lit(min(1.0, sample_docs / counts[1]))).otherwise(F.lit(min(1.0, sample_docs / counts[0])))
     picked = marks.filter(F.pmod(F.xxhash64("__id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("body")).filter(F.col("body").isNotNull()).join(picked, "__id").collect()
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("body")).filter(F.col("body").isNotNull()).join(F.broadcast(picked), "__id").collect()
     rows.sort(key=lambda r: (r["__id"], r["body"]))
     return train([r["body"] for r in rows], [r["y"] for r in rows], window=window, stride=stride)
 
 
 def score(docs: DataFrame, net: Network | None, *, text: str = "text", window: int = 32, stride: int = 16) -> DataFrame:
     """docs with toxicity_score (an existing column of that name is replaced)."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     docs = docs.drop("toxicity_score")
     names = docs.columns
-    body = F.col(text).cast("string").alias("__body")
+    at = names.index(text)
     schema = docs.withColumn("toxicity_score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Network | None = shared.value
         for batch in batches:
-            for some in slices(batch, len(names), 4 << 20):
-                found = scores_of(model, some.column(len(names)), window, stride) if model is not None else np.zeros(some.num_rows)
+            for some in slices(batch, at, 1 << 20):
+                found = scores_of(model, some.column(at), window, stride) if model is not None else np.zeros(some.num_rows)
                 yield pa.RecordBatch.from_arrays([*(some.column(k) for k in range(len(names))), pa.array(found, pa.float64())], names=[*names, "toxicity_score"])
 
-    return docs.select("*", body).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
