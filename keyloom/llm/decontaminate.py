@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keyloom.llm._shared import written
+from keyloom.llm._shared import small_batches, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ADDED = "n_words long, n_hit long, hit_ranges array<int>, hit_items array<string>"
@@ -166,6 +166,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _mark(docs: DataFrame, automaton: object, text: str) -> DataFrame:
     """docs with ADDED columns, which add to those of an earlier pass."""
+    small_batches(docs)
     names = [x.split()[0] for x in ADDED.split(", ")]
     plain = [c for c in docs.columns if c not in names]
     later = all(c in docs.columns for c in names)
@@ -217,8 +218,10 @@ def digest(marked: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
-def without_spans(text: str, ranges: list[int]) -> str:
+def without_spans(text: str | None, ranges: list[int] | None) -> str | None:
     """The text without its hit words, from the first letter of a range to the last; the rest is untouched."""
+    if not ranges:
+        return text
     raw = text.encode()
     spans = [m.span() for m in WORD.finditer(raw.lower())]
     out, at = [], 0
@@ -231,8 +234,10 @@ def without_spans(text: str, ranges: list[int]) -> str:
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", max_coverage: float = 0.5, **options: object) -> DataFrame:
     """docs (their own columns) with every hit span cut out; documents hit in over max_coverage of their words go."""
     columns = docs.columns
-    marked = contamination(docs, benchmark, text=text, **options)
+    added = [x.split()[0] for x in ADDED.split(", ")]
+    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in columns if c in added})
+    marked = contamination(own, benchmark, text=text, **options)
     kept = marked.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
     cut = F.udf(without_spans, "string", useArrow=True)
     body = F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("hit_ranges"))).otherwise(F.col(text))
-    return kept.withColumn(text, body).select(*columns)
+    return kept.withColumn(text, body).select(*[F.col(f"__own_{c}").alias(c) if c in added else F.col(c) for c in columns])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import written
+from keyloom.llm._shared import small_batches, written
 
 # Fixed values of the format: bitrates in kbit/s (MPEG-1 layer III; MPEG-2 and 2.5 layer III) and sampling rates in Hz
 RATES_1 = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -165,8 +165,16 @@ def protected_ok(data: bytes, at: int, f: Frame) -> bool:
     return c == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
+def followed(data: bytes, at: int, f: Frame, end: int) -> bool:
+    """Whether a frame ends where the stream does, or where a header of its sampling rate stands."""
+    after = at + f.size
+    g = frame_of(data[after : after + 4])
+    return after == end or g is not None and g.hertz == f.hertz
+
+
 def decode(data: bytes) -> Stream:
-    """Walk a stream from tag to tag; lost step is found again at two headers in a row that agree on rate and version."""
+    """Walk a stream from tag to tag. A header counts if its frame's checksum holds or another one follows the frame;
+    lost step is found again at the next header that one follows."""
     out, at, stated, parts = Stream(), 0, None, []
     end = len(data)
     if data[:3] == b"ID3" and len(data) >= 10:
@@ -178,11 +186,12 @@ def decode(data: bytes) -> Stream:
     first = True
     while at + 4 <= end:
         f = frame_of(data[at : at + 4])
-        if f is None or at + f.size > end:
+        sound = f is not None and at + f.size <= end and f.protected and protected_ok(data, at, f)
+        if f is None or at + f.size > end or not (sound or followed(data, at, f, end)):
             to = data.find(b"\xff", at + 1, end)
             while to >= 0:
                 g = frame_of(data[to : to + 4])
-                if g and (to + g.size == end or (h := frame_of(data[to + g.size : to + g.size + 4])) and h.hertz == g.hertz):
+                if g and followed(data, to, g, end):
                     break
                 to = data.find(b"\xff", to + 1, end)
             out.skipped += (to if to >= 0 else end) - at
@@ -193,8 +202,7 @@ def decode(data: bytes) -> Stream:
             if data[body + 7] & 1:
                 out.vbr_frames = int.from_bytes(data[body + 8 : body + 12], "big")
         else:
-            if f.protected and not protected_ok(data, at, f):
-                out.crc_errors += 1
+            out.crc_errors += f.protected and not sound
             out.frames += 1
             out.samples += f.samples
             out.hertz = f.hertz
@@ -218,6 +226,7 @@ def padded(text: bytes) -> bytes:
 
 def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the stored streams."""
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,6 +257,7 @@ def describe(media: bytes, n_bytes: int) -> tuple:
 
 def features(media: DataFrame) -> DataFrame:
     """Columns FEATURES of stored streams (doc_id, n_bytes, media)."""
+    small_batches(media)
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
