@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import written
+from keyloom.llm._shared import small_batches, written
 
 CRLF = b"\r\n"
 ARCHIVE_SCHEMA = "archive string, data binary"
@@ -151,8 +151,9 @@ def with_referrals(pages: DataFrame, page_id: str, payload: str, min_bytes: int)
     return wide.join(later, (F.col(page_id) == F.col("__later")) & (F.col("__digest") == F.col("__of")), "left")
 
 
-def write_archives(pages: DataFrame, page_id: str = "page_id", payload: str = "html", uri: str = "url", *, min_bytes: int = 100, segment_bytes: int = 16384, archive_bytes: int = 4 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, page_id: str = "page_id", payload: str = "html", uri: str = "url", *, min_bytes: int = 100, segment_bytes: int = 16384, archive_bytes: int = 1 << 20, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Archives (archive, data) of about archive_bytes each, holding a record per row of pages."""
+    small_batches(pages)
     rows = with_referrals(pages, page_id, payload, min_bytes).select(F.col(page_id).cast("long").alias("id"), F.col(uri).alias("uri"), F.col("__body").alias("body"), F.col("__first").cast("long").alias("refers_to"), F.col("__digest").alias("digest"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,6 +186,7 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", payload: str = "h
 def read_pieces(archives: DataFrame) -> DataFrame:
     """One row per record of the archives. A whole record is decoded here; a piece keeps its block. Request, metadata
     and other types are skipped."""
+    small_batches(archives)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("origin", "segment", "total", "id", "uri", "type", "refers_to", "digest", "complete", "block", "payload_bytes", "payload_digest", "status")
