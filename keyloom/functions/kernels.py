@@ -114,5 +114,12 @@ def ranked(df: DataFrame, order: Sequence[Column], key: str = "key", name: str =
     return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
 
 
+def first_ranked(df: DataFrame, order: Sequence[Column], n: int | Column, key: str = "key", name: str = "rank") -> DataFrame:
+    """The first n rows of each key with their rank. The bound stands on row_number itself, so that the plan keeps only
+    n rows of a key per task before the shuffle (WindowGroupLimit): a hot key costs no task more than that."""
+    w = W.partitionBy(key).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= lit(n)).withColumn(name, F.col("__rn") - 1).drop("__rn")
+
+
 def sized(df: DataFrame, key: str = "key", name: str = "length") -> DataFrame:
     return df.withColumn(name, F.count(F.lit(1)).over(W.partitionBy(key)))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import lit, ranked, upsert, without
+from keyloom.functions.kernels import first_ranked, lit, ranked, upsert, without
 
 ID = ["id_ms", "id_seq"]
 PEL = ["key", "grp", *ID]
@@ -59,7 +59,7 @@ def xrange(x: DataFrame, low: Column | None = None, high: Column | None = None,
     if count is None:
         return out
     order = [F.desc(c) if reverse else F.asc(c) for c in ID]
-    return ranked(out, order).filter(F.col("rank") < count).drop("rank")
+    return first_ranked(out, order, count).drop("rank")
 
 
 def xdel(x: DataFrame, gone: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def xread(x: DataFrame, last: DataFrame, count: int | None = None) -> DataFrame:
     """Entries after each key's last id: last has (key, last_ms, last_seq)."""
     joined = present(x).join(last, "key")
     after = joined.filter((F.col("id_ms") > F.col("last_ms")) | ((F.col("id_ms") == F.col("last_ms")) & (F.col("id_seq") > F.col("last_seq")))).drop("last_ms", "last_seq")
-    return after if count is None else ranked(after, [F.asc(c) for c in ID]).filter(F.col("rank") < count).drop("rank")
+    return after if count is None else first_ranked(after, [F.asc(c) for c in ID], count).drop("rank")
 
 
 # ---- consumer groups -------------------------------------------------------------------------------------------------
@@ -159,7 +159,7 @@ def xclaim(pending: DataFrame, asked: DataFrame, consumer: str, now_ms: int, min
 def xautoclaim(x: DataFrame, pending: DataFrame, grp: str, consumer: str, now_ms: int, min_idle: int, low: Column, count: int = 100, justid: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(claimed, deleted, pending): the first count idle entries of each key from a start; those whose entry is gone leave."""
     idle = pending.filter((F.col("grp") == grp) & low & (F.lit(now_ms) - F.col("delivery_ms") >= min_idle))
-    picked = ranked(idle, [F.asc(c) for c in ID]).filter(F.col("rank") < count).drop("rank")
+    picked = first_ranked(idle, [F.asc(c) for c in ID], count).drop("rank")
     here = present(x).select("key", *ID)
     deleted = picked.join(here, ["key", *ID], "left_anti").select(*PEL)
     kept = picked.join(here, ["key", *ID], "left_semi").select(*PEL)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import lit, ranked
+from keyloom.functions.kernels import first_ranked, lit
 
 # Earth radius in metres, latitude limit of the projection, bits per axis, metres of the units, alphabet
 RADIUS = 6372797.560856
@@ -131,7 +131,7 @@ def geosearch(z: DataFrame, lon: float, lat: float, *, radius: float | None = No
     hit = z.filter(ranges).filter(inside).withColumn("distance", d / scale)
     if count is None:
         return hit
-    return ranked(hit, [F.desc("distance") if descending else F.asc("distance"), F.asc("member")]).filter(F.col("rank") < count).drop("rank")
+    return first_ranked(hit, [F.desc("distance") if descending else F.asc("distance"), F.asc("member")], count).drop("rank")
 
 
 def centre_of(z: DataFrame, key: object, member: object) -> tuple[float, float]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import MAX_TTL_MS, format_double, last_by, lit, live, parse_double, parse_long, ranked, upsert, without
+from keyloom.functions.kernels import MAX_TTL_MS, first_ranked, format_double, last_by, lit, live, parse_double, parse_long, upsert, without
 
 KF = ["key", "field"]
 
@@ -138,8 +138,7 @@ def hgetex(h: DataFrame, asked: DataFrame, now_ms: int, *, ttl_ms: int | None =
 
 def hrandfield(h: DataFrame, n: int, seed: int = 0) -> DataFrame:
     if n >= 0:
-        r = ranked(h, [F.xxhash64(F.lit(seed), "field"), F.col("field")])
-        return r.filter(F.col("rank") < n).drop("rank")
+        return first_ranked(h, [F.xxhash64(F.lit(seed), "field"), F.col("field")], n).drop("rank")
     held = h.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("all"))
     drawn = held.select("key", "all", F.explode(F.sequence(F.lit(1), F.lit(-n))).alias("draw"))
     one = F.element_at("all", (F.floor(F.rand(seed) * F.size("all")) + 1).cast("int"))
@@ -147,5 +146,5 @@ def hrandfield(h: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def hscan(h: DataFrame, cursor: int = 0, count: int = 10, match: Column | None = None) -> DataFrame:
-    r = ranked(h, [F.asc("field")]).filter((F.col("rank") >= cursor) & (F.col("rank") < cursor + count))
+    r = first_ranked(h, [F.asc("field")], cursor + count).filter(F.col("rank") >= cursor)
     return r if match is None else r.filter(match)

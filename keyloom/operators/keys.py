@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import MAX_TTL_MS, glob, lit, live, parse_double, ranked, without
+from keyloom.functions.kernels import MAX_TTL_MS, first_ranked, glob, lit, live, parse_double, ranked, without
 
 
 def delete(k: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,10 +174,9 @@ def sort(elements: DataFrame, *, by: DataFrame | None = None, get: DataFrame | N
         main = text if alpha else F.coalesce(parse_double(text), F.raise_error(F.lit("One or more scores can't be converted into double")).cast("double"))
     rows = rows.withColumn("__main", main).withColumn("__text", text)
     order = [F.desc("__main"), F.desc("__text")] if descending else [F.asc("__main"), F.asc("__text")]
-    rows = ranked(rows, order)
-    if offset or count >= 0:
-        keep = F.col("rank") >= offset
-        rows = rows.filter(keep & (F.col("rank") < offset + count) if count >= 0 else keep)
+    rows = first_ranked(rows, order, offset + count) if count >= 0 else ranked(rows, order)
+    if offset:
+        rows = rows.filter(F.col("rank") >= offset)
     out = rows.drop("__main", "__text", "weight")
     return out if get is None else out.join(get, "value", "left")
 

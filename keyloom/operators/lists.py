@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import index_bounds, lit, ranked, sized
+from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, sized
 
 
 def indexed(x: DataFrame, tail: bool = False) -> DataFrame:
@@ -29,8 +29,8 @@ def pop(x: DataFrame, n: int = 1, *, tail: bool = False) -> tuple[DataFrame, Dat
     """(popped with rank in order of popping, rest)."""
     if n < 0:
         raise ValueError("value is out of range, must be positive")
-    r = ranked(x, [F.desc("pos") if tail else F.asc("pos")])
-    return r.filter(F.col("rank") < n), r.filter(F.col("rank") >= n).drop("rank")
+    order = [F.desc("pos") if tail else F.asc("pos")]
+    return first_ranked(x, order, n), ranked(x, order).filter(F.col("rank") >= n).drop("rank")
 
 
 def llen(x: DataFrame) -> DataFrame:
@@ -38,6 +38,8 @@ def llen(x: DataFrame) -> DataFrame:
 
 
 def lrange(x: DataFrame, start: int, stop: int) -> DataFrame:
+    if 0 <= start <= stop:
+        return first_ranked(x, [F.asc("pos")], stop + 1).filter(F.col("rank") >= start)
     r = indexed(x)
     first, last = index_bounds(start, stop, F.col("length"))
     return r.filter((F.col("rank") >= first) & (F.col("rank") <= last)).drop("length")
@@ -48,7 +50,8 @@ def ltrim(x: DataFrame, start: int, stop: int) -> DataFrame:
 
 
 def lindex(x: DataFrame, i: int) -> DataFrame:
-    return ranked(x, [F.asc("pos") if i >= 0 else F.desc("pos")]).filter(F.col("rank") == (i if i >= 0 else -i - 1)).select("key", "value")
+    at = i if i >= 0 else -i - 1
+    return first_ranked(x, [F.asc("pos") if i >= 0 else F.desc("pos")], at + 1).filter(F.col("rank") == at).select("key", "value")
 
 
 def lset(x: DataFrame, i: int, value: object) -> DataFrame:

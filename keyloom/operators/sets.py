@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import lit, live, ranked, upsert, without
+from keyloom.functions.kernels import first_ranked, lit, live, ranked, upsert, without
 
 KM = ["key", "member"]
 
@@ -52,8 +52,8 @@ def scard(s: DataFrame, now_ms: int | None = None) -> DataFrame:
 
 def spop(s: DataFrame, n: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(popped, rest): n pseudo-random members of each key."""
-    r = ranked(s, [F.xxhash64(F.lit(seed), "member"), F.col("member")])
-    return r.filter(F.col("rank") < n).drop("rank"), r.filter(F.col("rank") >= n).drop("rank")
+    order = [F.xxhash64(F.lit(seed), "member"), F.col("member")]
+    return first_ranked(s, order, n).drop("rank"), ranked(s, order).filter(F.col("rank") >= n).drop("rank")
 
 
 def srandmember(s: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -66,7 +66,7 @@ def srandmember(s: DataFrame, n: int, seed: int = 0) -> DataFrame:
 
 
 def sscan(s: DataFrame, cursor: int = 0, count: int = 10, match: Column | None = None) -> DataFrame:
-    r = ranked(s, [F.asc("member")]).filter((F.col("rank") >= cursor) & (F.col("rank") < cursor + count))
+    r = first_ranked(s, [F.asc("member")], cursor + count).filter(F.col("rank") >= cursor)
     return r if match is None else r.filter(match)
 
 

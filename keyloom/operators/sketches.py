@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from keyloom.functions.kernels import first_ranked
+
 # ---- HyperLogLog ----------------------------------------------------------------------------------------------------
 
 HLL_P, HLL_Q = 14, 50
@@ -258,8 +259,7 @@ def topk_counts(log: DataFrame) -> DataFrame:
 
 def topk_list(counts: DataFrame, k: int) -> DataFrame:
     """The k most frequent items of each key, by count, then item."""
-    w = W.partitionBy("key").orderBy(F.desc("cnt"), F.asc("item"))
-    return counts.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return first_ranked(counts, [F.desc("cnt"), F.asc("item")], k)
 
 
 def topk_query(counts: DataFrame, k: int, asked: DataFrame) -> DataFrame:

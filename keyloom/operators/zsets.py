@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import index_bounds, lit, ranked, sized, upsert, without
+from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, sized, upsert, without
 
 
 def _order(reverse: bool = False) -> list[Column]:
@@ -70,6 +70,8 @@ def zrank(z: DataFrame, reverse: bool = False) -> DataFrame:
 
 def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFrame:
     """Members of rank start to stop, negative ranks from the end."""
+    if 0 <= start <= stop:
+        return first_ranked(z, _order(reverse), stop + 1).filter(F.col("rank") >= start)
     r = sized(ranked(z, _order(reverse)))
     first, last = index_bounds(start, stop, F.col("length"))
     return r.filter((F.col("rank") >= first) & (F.col("rank") <= last)).drop("length")
@@ -79,9 +81,8 @@ def limited(z: DataFrame, offset: int, count: int, reverse: bool = False) -> Dat
     """LIMIT: a negative offset gives nothing, a negative count has no bound."""
     if offset < 0:
         return z.limit(0)
-    r = ranked(z, _order(reverse))
-    keep = F.col("rank") >= offset
-    return r.filter(keep if count < 0 else keep & (F.col("rank") < offset + count)).drop("rank")
+    r = ranked(z, _order(reverse)) if count < 0 else first_ranked(z, _order(reverse), offset + count)
+    return r.filter(F.col("rank") >= offset).drop("rank")
 
 
 def score_between(low: float, high: float, *, open_low: bool = False, open_high: bool = False) -> Column:
@@ -126,8 +127,8 @@ def zremrangebyrank(z: DataFrame, start: int, stop: int) -> DataFrame:
 
 def zpop(z: DataFrame, n: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped, rest)."""
-    r = ranked(z, _order(highest))
-    return r.filter(F.col("rank") < n), r.filter(F.col("rank") >= n).drop("rank")
+    rest = ranked(z, _order(highest)).filter(F.col("rank") >= n).drop("rank")
+    return first_ranked(z, _order(highest), n), rest
 
 
 def zmpop(z: DataFrame, keys: Sequence[object], n: int = 1, highest: bool = False) -> DataFrame:
@@ -177,8 +178,7 @@ def zstore(z: DataFrame, key: object, result: DataFrame) -> DataFrame:
 def zrandmember(z: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n distinct members of each key, or -n with repeats."""
     if n >= 0:
-        r = ranked(z, [F.rand(seed)])
-        return r.filter(F.col("rank") < n).drop("rank")
+        return first_ranked(z, [F.xxhash64(F.lit(seed), "member"), F.col("member")], n).drop("rank")
     held = z.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "member"))).alias("all"))
     drawn = held.select("key", "all", F.explode(F.sequence(F.lit(1), F.lit(-n))).alias("draw"))
     one = F.element_at("all", (F.floor(F.rand(seed) * F.size("all")) + 1).cast("int"))
@@ -188,5 +188,5 @@ def zrandmember(z: DataFrame, n: int, seed: int = 0) -> DataFrame:
 def zscan(z: DataFrame, cursor: int = 0, count: int = 10, match: Column | None = None) -> DataFrame:
     """A page of each key in order; the count budgets flat entries, a member and its score being two."""
     page = max(1, count // 2)
-    r = ranked(z, _order()).filter((F.col("rank") >= cursor) & (F.col("rank") < cursor + page))
+    r = first_ranked(z, _order(), cursor + page).filter(F.col("rank") >= cursor)
     return r if match is None else r.filter(match)
