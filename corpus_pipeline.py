@@ -30,8 +30,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: any of four fingerprints within five bits."""
-    return simhash.one_of_each(docs, distance=5, count=4)
+    """One document of each group of near copies stays: any of six fingerprints within three bits."""
+    return simhash.one_of_each(docs, distance=3, shingle=2, count=6)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

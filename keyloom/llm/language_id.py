@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm._shared import small_batches
 from keyloom.llm.packing import slices
 
 BUCKETS = 1 << 17
@@ -165,6 +166,7 @@ def sample_of(docs: DataFrame, text: str, lang: str, doc_id: str, learn: Column,
 
 def identify(docs: DataFrame, learn: Column, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 400, penalty: float = 30.0) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every row; `learn` marks the rows whose language may be learnt from."""
+    small_batches(docs)
     samples = sample_of(docs, text, lang, doc_id, learn, sample_docs)
     shared = docs.sparkSession.sparkContext.broadcast(fit(samples) if samples else None)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))

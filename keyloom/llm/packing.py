@@ -15,6 +15,7 @@ may be null.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import written
+from keyloom.llm._shared import small_batches, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, at long"
 MERGE_ROWS = 20_000  # open bins that one merging task takes
@@ -91,7 +92,7 @@ class WordTokenizer:
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     PLAIN = r"[\x21-\x7e\xa1-\u012f\u0131-\u0240]+"
 
-    def __init__(self, path: str, keep: int = 700_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -101,40 +102,38 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.chunks: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
-    def _word(self, w: str) -> list[int]:
+    def _word(self, w: str) -> bytes:
         ids = self.words.get(w)
         if ids is None:
             spelt = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            ids = self.words[w] = [t.id for t in self.model.tokenize(spelt)]
+            ids = self.words[w] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return ids
 
-    def _ids(self, chunk: str) -> list[int]:
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk, four bytes each."""
         if chunk.isascii():
             if chunk.isalpha():
                 return self._word(chunk.lower())
             if chunk[-1] in ".,!" and chunk[:-1].isalpha():
                 return self._word(chunk[:-1].lower()) + self._word(chunk[-1])
         if "<|" in chunk or not self.plain(chunk):
-            return self.inner.encode(chunk, add_special_tokens=False).ids
-        out: list[int] = []
-        for w in self.pieces(chunk.lower()):
-            out += self._word(w)
-        return out
+            return array("I", self.inner.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join([self._word(w) for w in self.pieces(chunk.lower())])
 
     def _learn(self, chunks: list[str]) -> None:
         found = [self._ids(c) for c in chunks]
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
         k, n, total = len(self.chunks), len(found), int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + n > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, self.starts]), np.concatenate([self.sizes, self.sizes])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
         self.sizes[k : k + n] = sizes
         self.starts[k : k + n] = self.used + np.cumsum(sizes) - sizes
         self.used += total
@@ -181,9 +180,10 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
-    """The worker process's tokenizer: its caches outlive a task."""
+    """The worker process's tokenizer, with empty caches: a task's words don't burden what the worker does next."""
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
+    _TOKENIZERS[path].clear()
     return _TOKENIZERS[path]
 
 
@@ -197,6 +197,7 @@ def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, i
 
 def tokenize_and_place(docs: DataFrame, tokenizer: str, capacity: int, places: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """PIECE_SCHEMA rows: each task packs its own documents; a bin's name holds its task."""
+    small_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +215,7 @@ def tokenize_and_place(docs: DataFrame, tokenizer: str, capacity: int, places: i
                         rows.append((doc, piece, start, n, crc, name, at))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        words.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
 

@@ -26,11 +26,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm._shared import written
+from keyloom.llm._shared import small_batches, written
 from keyloom.llm.components import components
 
 BITS = 64
-LEAF = 384
+LEAF = 2048  # points compared whole
+WORTH = 0.92  # a cut must leave at most this share of the comparisons
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
@@ -74,6 +75,7 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42, count: int
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
     """(doc_id, fp, fp_1, ...): fingerprints as signed longs."""
+    small_batches(docs)
     names = ["fp", *(f"fp_{k}" for k in range(1, count))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,18 +96,22 @@ def distances(points: np.ndarray, to: np.uint64) -> np.ndarray:
 
 
 def best_cut(points: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 6) -> tuple[np.uint64, int] | None:
-    """Vantage point and radius that leave the least work: the larger side, boundary copies included, is smallest."""
-    best, found = len(points), None
+    """Vantage point and radius that leave the fewest comparisons, a side's copies included; None if no cut pays.
+
+    A cut pays if the squares of both sides' sizes sum to less than WORTH of the whole's. On random 64-bit points the
+    best cut leaves 0.71 of them at a reach of 2, 0.79 at 3 and none pays from 5 on: there, points would be compared whole.
+    """
+    best, found = WORTH * len(points) ** 2, None
     for vp in rng.choice(points, min(tries, len(points)), replace=False):
-        below = np.cumsum(np.bincount(distances(points, vp), minlength=BITS + 2))
-        for radius in range(1, BITS + 1):
-            inner = below[radius - 1]
-            shell = inner - (below[radius - 1 - reach] if radius > reach else 0)
-            outer = len(points) - inner
-            cost = max(inner, outer + shell) + shell
-            if inner and outer and cost < best:
-                best, found = cost, (vp, radius)
-    return found if best < 0.97 * len(points) else None
+        below = np.concatenate([[0], np.cumsum(np.bincount(distances(points, vp), minlength=BITS + 1))])  # nearer than r
+        radii = np.arange(1, BITS + 1)
+        inner = below[radii]
+        outer = len(points) - below[np.maximum(radii - reach, 0)]
+        cost = np.where((inner > 0) & (inner < len(points)), inner.astype(float) ** 2 + outer.astype(float) ** 2, np.inf)
+        k = int(cost.argmin())
+        if cost[k] < best:
+            best, found = cost[k], (vp, int(radii[k]))
+    return found
 
 
 class VantageTree:

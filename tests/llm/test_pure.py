@@ -78,12 +78,13 @@ def test_fingerprint(text):
     assert len(set(sh.fingerprint(b"a b c d e f", count=4))) == 4
 
 
-def test_links_match_brute_force():
+def test_links_match_brute_force(monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
     near = [b ^ np.uint64(1 << int(rng.integers(64))) for b in base[:200]]
     dense = [base[0] ^ np.uint64(sum(1 << int(x) for x in rng.integers(0, 64, 3))) for _ in range(700)]
     points = np.unique(np.concatenate([base, np.array(near, np.uint64), np.array(dense, np.uint64)]))
+    monkeypatch.setattr(sh, "LEAF", 64)
     forest = sh.link_points(points, 2)
     slow = sh.Forest(len(points))
     sh.link_leaf(points, np.arange(len(points)), 2, slow)
