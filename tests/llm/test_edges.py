@@ -189,3 +189,14 @@ def test_toxicity(docs, none, spark):
     assert len(out) == len(ROWS) and all(0 <= r["toxicity_score"] <= 1 for r in out) and {r["toxicity_score"] for r in out if r["doc_id"] in (2, 3, 6, 7)} == {0.0}
     assert toxicity.fit(docs, labels.filter("toxic = 1"), F.lit(True)) is None and {r["toxicity_score"] for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(none, net).count() == 0
+
+
+def test_long_lines_go_through_the_tree(spark):
+    """Passages of over 40 words that differ in a word without a digit share a template; others of the same length don't."""
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    passage = lambda k: " ".join([*words[:30], "xyzuvw"[k], *words[30:]])
+    other = " ".join([*words[:3], *words[:2:-1], "end"])
+    texts = [f"{passage(k)}\nown {'xyzuvw'[k]}" for k in range(4)] + [f"{other}\nlast"]
+    out = {r["doc_id"]: r for r in line_templates.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert out[0]["text"] == texts[0] and out[4]["text"] == texts[4]
+    assert [out[i]["text"] for i in (1, 2, 3)] == ["own y", "own z", "own u"] and all(out[i]["n_dropped"] == 1 for i in (1, 2, 3))
