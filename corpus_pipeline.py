@@ -24,7 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur in three or more documents go, but for the first; so do documents of nothing else."""
+    """Lines of templates that recur in three or more documents (long ones: two) go, but for the first; so do documents of nothing else."""
     out = line_templates.dedup(docs)
     return _recounted(out.filter((F.col("n_dropped") == 0) | (F.trim("text") != "")).select(*docs.columns))
 

@@ -200,3 +200,10 @@ def test_long_lines_go_through_the_tree(spark):
     out = {r["doc_id"]: r for r in line_templates.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     assert out[0]["text"] == texts[0] and out[4]["text"] == texts[4]
     assert [out[i]["text"] for i in (1, 2, 3)] == ["own y", "own z", "own u"] and all(out[i]["n_dropped"] == 1 for i in (1, 2, 3))
+
+
+def test_a_passage_recurs_from_two_documents_on(spark):
+    passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")
+    texts = [f"{passage}\nshort line of both\nfirst", f"{passage} end\nshort line of both\nsecond", f"{passage}\nthird"]
+    out = {r["doc_id"]: r["text"] for r in line_templates.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: texts[0], 1: texts[1], 2: "third"}
