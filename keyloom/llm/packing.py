@@ -3,8 +3,9 @@
 Each task tokenizes its documents, cuts only those longer than a sequence, and places the pieces in the order they
 come: into the open bin whose free space fits most tightly, found as the lowest set bit of the bitset at or above the
 piece's length. When no bin fits and all places for open bins are taken, the fullest bin closes. Bins still open when a
-task ends are merged by the same rule: they are themselves packed as blocks, in rounds of fewer tasks, until one round's
-bins fit one task; only (bin, fill) pairs move, never tokens.
+task ends, and those closed with room left, are merged by the same rule: they are themselves packed as blocks. What a merging
+task still holds open goes on to the next round of fewer tasks, until one task has packed the rest; only (bin, fill)
+pairs move, never tokens.
 
 Defined results. Null text counts as empty: its document is one piece of one token (the end id). Empty tables give
 empty results. Repeated rows are packed as documents of their own. Ties between bins of equal free space go to the
@@ -221,7 +222,8 @@ def tokenize_and_place(docs: DataFrame, tokenizer: str, capacity: int, places: i
 
 
 def merge_open(blocks: DataFrame, capacity: int, places: int, tasks: int, round_no: int) -> DataFrame:
-    """blocks (bin, fill) packed into (bin, into, base, fill): bins of several tasks, tightest first by size."""
+    """blocks (bin, fill) packed into (bin, into, base, fill): bins of several tasks, tightest first by size. Rows without
+    bin and base are the bins that a task holds open at its end, with their fill."""
     schema = pa.schema([("bin", pa.int64()), ("into", pa.int64()), ("base", pa.int64()), ("fill", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,11 +237,19 @@ def merge_open(blocks: DataFrame, capacity: int, places: int, tasks: int, round_
                 rows.append((name, into, at, fill))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+        if rest := [(None, name, None, fill) for name, fill in bins.rest()]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest, strict=True), schema.types, strict=True)], schema=schema)
 
     dealt = blocks.repartition(tasks, F.xxhash64("bin")).sortWithinPartitions(F.desc("fill"), "bin")
     return dealt.mapInArrow(run, "bin long, into long, base long, fill long")
 
 
+def followed_by(moved: DataFrame, moves: DataFrame) -> DataFrame:
+    """(bin, into, base) of moved, carried on by the moves of the next round."""
+    later = moves.select(F.col("bin").alias("into"), F.col("into").alias("then"), F.col("base").alias("further"))
+    return moved.join(later, "into", "left").select("bin", F.coalesce("then", "into").alias("into"), (F.col("base") + F.coalesce("further", F.lit(0))).alias("base"))
+
+
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, places: int = 512, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document lies."""
     placed = written(tokenize_and_place(docs, tokenizer, capacity, places, end_id, id_col, text_col), "pieces")
@@ -248,9 +258,16 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, places: int =
     left = open_bins.count()
     if left == 0:
         return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
-    tasks = -(-left // MERGE_ROWS)
-    moved = written(merge_open(open_bins, capacity, places, tasks, 1), "merged-bins")
-    out = placed.join(moved.select("bin", "into", "base"), "bin", "left")
+    moved, tasks, round_no = None, -(-left // MERGE_ROWS), 1
+    while True:
+        merged = written(merge_open(open_bins, capacity, places, tasks, round_no), "merged-bins")
+        moves = merged.filter(F.col("bin").isNotNull()).select("bin", "into", "base")
+        moved = moves if moved is None else followed_by(moved, moves)
+        if tasks == 1:
+            break
+        open_bins = merged.filter(F.col("bin").isNull()).select(F.col("into").alias("bin"), "fill")
+        tasks, round_no = max(1, min(-(-open_bins.count() // MERGE_ROWS), tasks // 2)), round_no + 1
+    out = placed.join(moved, "bin", "left")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("into", "bin").alias("sequence_id"), (F.col("at") + F.coalesce("base", F.lit(0))).alias("offset"))
 
 

@@ -207,3 +207,18 @@ def test_a_passage_recurs_from_two_documents_on(spark):
     texts = [f"{passage}\nshort line of both\nfirst", f"{passage} end\nshort line of both\nsecond", f"{passage}\nthird"]
     out = {r["doc_id"]: r["text"] for r in line_templates.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == {0: texts[0], 1: texts[1], 2: "third"}
+
+
+def test_packing_merges_what_merging_tasks_leave_open(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MERGE_ROWS", 4)
+    rows = [(i, "alpha " * (5 + 7 * i % 23)) for i in range(60)]
+    placed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(20), queries.tokenizer_path(), capacity=64, places=4).collect()
+    bins = {}
+    for r in placed:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in placed if r["piece"] == 0) == list(range(60))
+    for parts in bins.values():
+        ends = [0, *(a + n for a, n in sorted(parts))]
+        assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
+    fills = sorted(sum(n for _, n in parts) for parts in bins.values())
+    assert fills[0] + fills[1] > 64 and len(bins) <= -(-sum(fills) // 64) + 4
