@@ -14,9 +14,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -41,6 +43,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 ARROW_ROWS, ARROW_BYTES = "1000", "8m"
 
 

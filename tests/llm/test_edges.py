@@ -33,8 +33,11 @@ def test_simhash(docs, none):
     assert by[2][0] == by[3][0] == by[6][0] == 0 and by[2][1] == by[3][1] == 2
     assert by[1] == by[5] and by[5][1] == 1 and len(simhash.near_duplicates(docs).collect()) == len(ROWS)
     assert simhash.near_duplicates(none).count() == 0
-    kept = [r["doc_id"] for r in simhash.one_of_each(docs, distance=3, shingle=2, count=6).collect()]
+    kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
     assert 1 in kept and 5 not in kept and None in kept and kept.count(2) == 1 and 3 not in kept
+    assert simhash.one_of_each(none).count() == 0 and simhash.similar_texts(none).count() == 0
+    clashing = docs.withColumn("__gone", F.lit(1)).withColumn("fp", F.lit("own"))
+    assert simhash.one_of_each(clashing).columns == clashing.columns
 
 
 def test_components(spark):
