@@ -30,8 +30,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: any of six fingerprints within three bits."""
-    return simhash.one_of_each(docs, distance=3, shingle=2, count=6)
+    """One document of each group of texts stays whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
