@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +206,69 @@ def test_long_lines_go_through_the_tree(spark):
     assert [out[i]["text"] for i in (1, 2, 3)] == ["own y", "own z", "own u"] and all(out[i]["n_dropped"] == 1 for i in (1, 2, 3))
 
 
+def slow_line_dedup(rows, min_docs=3, similarity=0.8, long_tokens=40, long_docs=2):
+    """Plain version: masked lines, one tree in the order of keys, templates counted by document."""
+    docs, leaves = {}, {}
+    for i, t in rows:
+        if i is not None and t is not None:
+            docs.setdefault(i, []).extend(m for m in line_templates.masked(pa.array(t.split("\n"))).to_pylist() if m)
+    for m in sorted({m for ms in docs.values() for m in ms}, key=line_templates.key_of):
+        ts, words = leaves.setdefault(line_templates.leaf_of(m), []), m.split(" ")
+        scored = [(sum(a in (b, "<*>") for a, b in zip(t, words, strict=True)), -k) for k, (t, _) in enumerate(ts)]
+        if scored and max(scored)[0] >= similarity * len(words) - 1e-9:
+            t, members = ts[-max(scored)[1]]
+            members.append(m)
+            t[:] = [a if a == b else "<*>" for a, b in zip(t, words, strict=True)]
+        else:
+            ts.append((list(words), [m]))
+    gone = {}
+    for ts in leaves.values():
+        for _, members in ts:
+            held = sorted(i for i, ms in docs.items() if set(ms) & set(members))
+            if len(held) >= (long_docs if len(members[0].split(" ")) > long_tokens else min_docs):
+                gone |= dict.fromkeys(members, held[0])
+    out = []
+    for i, t in rows:
+        if i is None or t is None:
+            out.append((i, t))
+            continue
+        kept = [x for x in t.split("\n") if gone.get(line_templates.masked(pa.array([x]))[0].as_py(), i) == i]
+        out.append((i, "\n".join(kept) if len(kept) < len(t.split("\n")) else t))
+    return out
+
+
+def test_line_templates_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    def line():
+        n = rng.choice([3, 5, 6, 45])
+        return " ".join(rng.choice(words[: rng.choice([1, 2, 10])]) if rng.random() > 0.1 else str(rng.randrange(99)) for _ in range(n))
+    pool = [line() for _ in range(60)]
+    rows = [(rng.randrange(40), "\n".join([*(rng.choice(pool) for _ in range(rng.randrange(6))), *(["", "\t\r", "\u00a0", " "][rng.randrange(4)] for _ in range(2)), line()])) for _ in range(60)]
+    rows += [(None, rows[0][1]), (3, None), (41, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = [(r["doc_id"], r["text"]) for r in line_templates.dedup(frame).collect()]
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(out, key=key) == sorted(slow_line_dedup(rows), key=key) and sorted(out, key=key) != sorted(rows, key=key)
+
+
+def test_blank_lines_stay(spark):
+    texts = [f"own {'abcd'[k]}\r\n\r\n\t\n\u00a0\nsame line of all\r" for k in range(4)]
+    out = {r["doc_id"]: r for r in line_templates.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0]["text"] == texts[0] and [out[k]["text"] for k in (1, 2, 3)] == [f"own {'abcd'[k]}\r\n\r\n\t\n\u00a0" for k in (1, 2, 3)]
+
+
+def test_crowded_leaves(spark):
+    """Lines of one shape find each other although their leaf is dealt to many sub-leaves; very long texts and clashing names pass."""
+    names = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    rows = [(k, f"user went home from {n} today with bag\nown words {n}", "x", "y") for k, n in enumerate(names)] + [(900, LONG + "\n" + LONG, "x", "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, __lost string, __lost_id string").repartition(4)
+    out = {r["doc_id"]: r for r in line_templates.dedup(frame, crowd=20).collect()}
+    assert out[0]["text"] == rows[0][1] and all(out[k]["text"] == f"own words {n}" and out[k]["__lost"] == "x" for k, n in enumerate(names) if k) and out[900]["text"] == rows[-1][1]
+
+
 def test_a_passage_recurs_from_two_documents_on(spark):
     passage = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr")
     texts = [f"{passage}\nshort line of both\nfirst", f"{passage} end\nshort line of both\nsecond", f"{passage}\nthird"]

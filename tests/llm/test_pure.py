@@ -220,11 +220,30 @@ def test_audio_damage():
 
 
 def test_template_tree():
-    t = []
-    assert lt.place(t, "user <*> logged in from home".split(), 0.8) == 0
-    assert lt.place(t, "user <*> logged in from work".split(), 0.8) == 0
-    assert t[0][0][-1] == lt.WILD
-    assert lt.place(t, "something else entirely here now ok".split(), 0.8) == 1
+    t = lt.LeafTemplates(0.8)
+    assert t.put((0, 1), "user <*> logged in from home") == 0
+    assert t.put((0, 2), "user <*> logged in from work") == 0
+    assert t.templates[0][-1] == lt.WILD and t.members == [[(0, 1), (0, 2)]]
+    assert t.put((0, 3), "something else entirely here now ok") == 1
+
+
+def test_many_templates_as_few(monkeypatch):
+    """The array of templates decides as the comparison one by one does."""
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(600)]
+    found = []
+    for few in (0, 10**6):
+        monkeypatch.setattr(lt, "FEW", few)
+        t = lt.LeafTemplates(0.7)
+        found.append(([t.put((k, k), x) for k, x in enumerate(lines)], t.templates))
+    assert found[0] == found[1]
+
+
+def test_masks():
+    lines = ["a1 b  c", "\t\r", "\u00a0", "x 9:30\u2003y\r", "", "no change here", " 7 "]
+    assert lt.masked(pa.array(lines)).to_pylist() == ["<*> b c", "", "", "x <*> y", "", "no change here", "<*>"]
+    raw, bounds = lt.lines_of(pa.array(["a\nb", None, "", "c\n"]))
+    assert raw.to_pylist() == ["a", "b", "", "c", ""] and bounds.tolist() == [0, 2, 2, 3, 5]
 
 
 def test_gradients_match_differences():
