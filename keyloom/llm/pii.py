@@ -4,6 +4,7 @@ Validated values are permuted within their format, so a value has the same pseud
 values have different ones, and the key's holder can go back (`inverse=True`):
 
 * payment cards (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit follows, separators stay;
+  digits in a row or in the usual groups count as a card also within a longer run of numbers, and before the whole run;
 * IPv4 addresses: the 32-bit number; * North American phones: area, exchange (both from 200) and line;
 * social security numbers: the valid areas, groups and serials; * dates (yyyy-mm-dd, and nn/nn/yyyy read as month/day
   or else day/month) of 1800 to 2199: the days of that 400-year cycle, 189 x 773 of them;
@@ -12,7 +13,8 @@ values have different ones, and the key's holder can go back (`inverse=True`):
 A network alternates l = (l + F(r)) mod a and r = (r + F(l)) mod b over `ROUNDS` rounds, F being SHA-256 of key, kind,
 round and the other half; it permutes 0..a*b-1 exactly for any a and b.
 
-Defined results. Null text stays null with zero values; empty and very long texts are whole. A candidate that does not
+Defined results. Null text stays null with zero values; empty and very long texts are whole, and a candidate may be of any
+length. A candidate that does not
 validate is left alone. Overlapping candidates: the leftmost, then the first kind in the order of `PATTERN`, counts.
 Equal rows give equal rows. Extra columns pass through; the count's column replaces one of the same name.
 """
@@ -24,14 +26,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm._shared import spare_name
+
 ROUNDS = 8
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive loops take no stack
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9A-Za-z])"
 DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z/-])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+CARD_GROUPS = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9])"
 PATTERN = f"{EMAIL}|(?<![0-9A-Za-z.])(?=[0-9+(])(?:{IP}|{DATE}|{SSN}|{PHONE}|{CARD})"
 
 PHONE_PARTS = r"^((?:\+1[ .-]?)?\(?)([2-9][0-9]{2})(\)? ?[.-]?)([2-9][0-9]{2})([ .-])([0-9]{4})$"
@@ -123,8 +128,18 @@ def luhn_sum(digits: Column, doubled_from_right: int) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), weigh), F.lit(0), lambda acc, d: acc + d)
 
 
+def replaced(whole: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
+    """whole with new(match) for every match of the pattern."""
+    found = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(F.split(whole, pattern, -1), F.transform(found, new), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))
+    return F.array_join(F.flatten(parts), "")
+
+
 def card_pseudonym(m: Column, key: str, inverse: bool) -> Column:
-    def of(d: Column) -> Column:
+    """The cards in a run of digits: those of its groups that validate, else the run itself if it does. The choice is the
+    same for the pseudonyms of groups, which validate as their cards do."""
+
+    def of(m: Column, d: Column) -> Column:
         n = F.length(d) - 1
         k = F.floor(n / 2).cast("int")
         power = lambda e: F.pow(F.lit(10.0), e).cast("bigint")
@@ -136,7 +151,9 @@ def card_pseudonym(m: Column, key: str, inverse: bool) -> Column:
         spread = lambda out: F.array_join(F.transform(F.split(m, ""), lambda c, i: F.when(c.rlike("[0-9]"), out.substr(F.length(F.regexp_replace(m.substr(F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c)), "")
         return F.when(luhn_sum(d, 1) % 10 == 0, _let(_let(new, text), spread)).otherwise(m)
 
-    return _let(F.regexp_replace(m, "[^0-9]", ""), of)
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    one = lambda x: _let(digits(x), lambda d: of(x, d))
+    return _let(replaced(m, CARD_GROUPS, one), lambda out: F.when((out == m), one(m)).otherwise(out))
 
 
 def _shifted(text: Column, digest: Column, sign: int) -> Column:
@@ -184,15 +201,13 @@ def pseudonym(m: Column, key: str, inverse: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text", count: str = "n_pseudonyms", inverse: bool = False) -> DataFrame:
     """docs with personal data in the text replaced, and the number of values that were."""
     whole = F.col(text)
+    old, new, parts = (spare_name(docs, x) for x in ("old", "new", "pieces"))
     found = F.regexp_extract_all(whole, F.lit(PATTERN), F.lit(0))
     pieces = F.split(whole, PATTERN, -1)
     may = whole.rlike("[0-9@]")
-    clash = {"__old", "__new", "__pieces"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    out = docs.withColumn("__old", F.when(may, found)).withColumn("__pieces", F.when(F.size("__old") > 0, pieces))
-    out = out.withColumn("__new", F.when(F.size("__old") > 0, F.transform("__old", lambda m: pseudonym(m, key, inverse))))
-    joined = F.array_join(F.flatten(F.zip_with("__pieces", "__new", lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    changed = F.aggregate(F.zip_with("__old", "__new", lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
-    out = out.withColumn(count, F.coalesce(F.when(F.size("__old") > 0, changed), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.coalesce(F.when(F.size("__old") > 0, joined), whole)).drop("__old", "__new", "__pieces")
+    out = docs.withColumn(old, F.when(may, found)).withColumn(parts, F.when(F.size(old) > 0, pieces))
+    out = out.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key, inverse))))
+    joined = F.array_join(F.flatten(F.zip_with(parts, new, lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+    changed = F.aggregate(F.zip_with(old, new, lambda a, b: F.when(a != b, 1).otherwise(0)), F.lit(0), lambda acc, x: acc + x)
+    out = out.withColumn(count, F.coalesce(F.when(F.size(old) > 0, changed), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.coalesce(F.when(F.size(old) > 0, joined), whole)).drop(old, new, parts)

@@ -127,6 +127,15 @@ def test_pii(docs, none, spark):
     back = {r["doc_id"]: r["text"] for r in pii.pseudonymise(out, "key", inverse=True).collect()}
     assert back[1] == text
     assert pii.pseudonymise(d, "other key").first()["text"] != rows[1]["text"]
+    cards = spark.createDataFrame([(1, "code 123 4111111111111111 or qty 12 4111 1111 1111 1111, 3782 822463 10005, 1234567890123"), (2, "4111-1111-1111-1111")], "id long, text string")
+    shown = {r["id"]: r["text"] for r in pii.pseudonymise(cards, "key").collect()}
+    new = shown[2].replace("-", "")
+    assert shown[1].startswith(f"code 123 {new} or qty 12 {new[:4]} {new[4:8]} {new[8:12]} {new[12:]}, ") and "822463" not in shown[1] and shown[1].endswith(" 1234567890123")
+    assert {r["text"] for r in pii.pseudonymise(pii.pseudonymise(cards, "key"), "key", inverse=True).collect()} == {r["text"] for r in cards.collect()}
+    many = spark.createDataFrame([(1, "x@" + ".".join(["ab"] * 20_000) + " 10.0.255.1")], "id long, text string")
+    assert pii.pseudonymise(many, "key").first()["n_pseudonyms"] == 2
+    clash = d.withColumn("__old", F.lit(1)).withColumn("__new", F.lit(2))
+    assert pii.pseudonymise(clash, "key").columns == [*clash.columns, "n_pseudonyms"]
     assert pii.pseudonymise(none, "key").count() == 0 and pii.pseudonymise(docs, "key").count() == len(ROWS)
 
 
@@ -175,6 +184,19 @@ def test_warc(spark):
     for i, _, html in pages:
         assert by[i]["payload_digest"] == hashlib.sha256((html or "").encode()).hexdigest() and by[i]["payload_bytes"] == len(html or "")
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    odd = [(None, "u", body, 1, 2), (None, None, None, 1, 2), (1, "u", body, 1, 2), (-4, "u", "y" * 200, 1, 2), (7, "u", "y" * 200, 1, 2), (7, "u", "y" * 200, 1, 2)]
+    out = warc.round_trip(spark.createDataFrame(odd, "page_id long, url string, html string, __first long, digest long").repartition(2)).collect()
+    assert sorted((str(r["id"]), r["type"], str(r["refers_to"]), r["status"]) for r in out) == sorted([("None", "response", "None", "ok")] * 2 + [("1", "response", "None", "ok"), ("-4", "response", "None", "ok")] + [("7", "revisit", "-4", "ok")] * 2)
+
+
+def test_damaged_archives(spark):
+    """Damage and foreign records through Spark: nothing after them is lost, and revisits without their response are told."""
+    ok = lambda k: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{k}>"), ("WARC-Payload-Digest", "sha1:AB")], b"HTTP/1.1 200 OK\r\n\r\nbody")
+    revisit = lambda of: warc.record([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:9>"), ("WARC-Refers-To", of)], b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\n")
+    data = ok(1) + b"WARC/1.1\r\nContent-Length: 3\r\n" + revisit("<urn:uuid:1>") + revisit("<urn:uuid:404>") + warc.record([("WARC-Type", "continuation"), ("WARC-Segment-Origin-ID", "<urn:uuid:7>"), ("WARC-Segment-Number", "two")], b"x") + ok(2)
+    out = warc.read_archives(spark.createDataFrame([("a", bytearray(data)), ("b", None)], "archive string, data binary")).collect()
+    assert sorted((r["type"], r["status"], r["payload_bytes"]) for r in out if r["type"] == "response") == [("response", "ok", 4)] * 2
+    assert sorted((r["type"], r["status"]) for r in out if r["type"] != "response") == [("continuation", "missing_segment"), ("damaged", "bad_header"), ("revisit", "dangling"), ("revisit", "ok")]
 
 
 def test_language(docs, none, spark):

@@ -60,6 +60,21 @@ def test_segments_and_damage():
     assert list(warc.parse(b"garbage")) == [] and list(warc.parse(b"")) == []
 
 
+def test_reading_goes_on_after_damage():
+    good = lambda k: warc.record([("WARC-Type", "response"), ("WARC-Record-ID", f"<id:{k}>")], b"HTTP/1.1 200 OK\r\n\r\nWARC/1.1 in a text\r\nWARC/1.1\r\nend")
+    bad_length = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: x\r\n\r\nbody\r\n\r\n"
+    no_end = b"WARC/1.1\r\nWARC-Type: response\r\n"
+    too_long = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999\r\n\r\nbody\r\n\r\n"
+    too_short = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 2\r\n\r\nbody\r\n\r\n"
+    for bad in (b"junk\r\n", bad_length, no_end, too_long, too_short, b"WARC/1.1\n"):
+        out = list(warc.parse(good(1) + bad + good(2) + bad))
+        whole = [h["warc-record-id"] for h, b, ok in out if ok]
+        assert whole == ["<id:1>", "<id:2>"], bad
+        assert bad == b"junk\r\n" or sum(not ok for _, _, ok in out) == 2, bad
+    row = warc.piece({"warc-refers-to": "<urn:uuid:1>", "warc-segment-number": "x", "x-page-id": "ab", "warc-segment-total-length": "-1"}, "continuation", b"", True)
+    assert row[1:4] == (0, None, None) and warc.joined([row])[7] == "missing_segment"
+
+
 # ---- SimHash --------------------------------------------------------------------------------------------------------
 
 
