@@ -2,10 +2,10 @@
 
 Each task tokenizes its documents, cuts only those longer than a sequence, and places the pieces in the order they
 come: into the open bin whose free space fits most tightly, found as the lowest set bit of the bitset at or above the
-piece's length. When no bin fits and all places for open bins are taken, the fullest bin closes. Bins still open when a
-task ends, and those closed with room left, are merged by the same rule: they are themselves packed as blocks. What a merging
-task still holds open goes on to the next round of fewer tasks, until one task has packed the rest; only (bin, fill)
-pairs move, never tokens.
+piece's length. When no bin fits and all places for open bins are taken, the fullest bin closes, for good. Bins still
+open when a task ends (`places` of them at most) are merged by the same rule: they are themselves packed as blocks. What
+a merging task still holds open goes on to the next round of fewer tasks, until one task has packed the rest; only (bin,
+fill) pairs move, never tokens.
 
 Defined results. Null text counts as empty: its document is one piece of one token (the end id). Empty tables give
 empty results. Repeated rows are packed as documents of their own. Ties between bins of equal free space go to the
@@ -197,7 +197,8 @@ def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, i
 
 
 def tokenize_and_place(docs: DataFrame, tokenizer: str, capacity: int, places: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """PIECE_SCHEMA rows: each task packs its own documents; a bin's name holds its task."""
+    """PIECE_SCHEMA rows: each task packs its own documents; a bin's name holds its task. Rows of piece -1 are the bins that
+    a task holds open at its end, with their fill as length."""
     small_batches(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("at", pa.int64())])
 
@@ -217,6 +218,8 @@ def tokenize_and_place(docs: DataFrame, tokenizer: str, capacity: int, places: i
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         words.clear()
+        if rows := [(None, -1, None, fill, None, name, None) for name, fill in bins.rest()]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
@@ -252,9 +255,9 @@ def followed_by(moved: DataFrame, moves: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, places: int = 512, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document lies."""
-    placed = written(tokenize_and_place(docs, tokenizer, capacity, places, end_id, id_col, text_col), "pieces")
-    fills = placed.groupBy("bin").agg(F.sum("length").alias("fill"))
-    open_bins = written(fills.filter(F.col("fill") < capacity), "open-bins")
+    rows = written(tokenize_and_place(docs, tokenizer, capacity, places, end_id, id_col, text_col), "pieces")
+    placed = rows.filter("piece >= 0")
+    open_bins = rows.filter("piece = -1").select("bin", F.col("length").alias("fill"))
     left = open_bins.count()
     if left == 0:
         return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
@@ -287,5 +290,3 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, *, end_id: int
     parts = texts.join(placed, "doc_id").select("text", "start", "length", "sequence_id", "offset").mapInArrow(cut, "sequence_id long, at long, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("at", "ids")))
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("input_ids"))
-
-
