@@ -61,7 +61,7 @@ s AS (SELECT rn, page_id,
              translate(authority, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(substr(rest, length(authority) + 1), '^[^?#]*', 0) AS path FROM h),
 m AS (SELECT s.rn, r.verdict, r.host || r.path AS rule,
-             row_number() OVER (PARTITION BY s.rn ORDER BY length(r.host || r.path) DESC) AS k
+             row_number() OVER (PARTITION BY s.rn ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC) AS k
       FROM s JOIN rules r ON (s.host = r.host OR s.host LIKE '%.' || r.host) AND starts_with(s.path, r.path))
 SELECT s.page_id, s.host, s.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM s LEFT JOIN m ON m.rn = s.rn AND m.k = 1
