@@ -5,9 +5,13 @@ spectral data, so any decoder plays silence and skips the bytes). In front stand
 states the payload's length and CRC-32, and a variable-bitrate header frame with frame and byte counts and the table
 of contents. All frames but the last use the largest bitrate; the last one uses the smallest that holds the rest.
 
-The reader takes any stream of layer III (MPEG-1, 2 and 2.5): it skips tags, looks for two consistent headers in a row
-when it loses step, checks the CRC-16 of protected frames, and returns exact durations (samples over rate) and the
-byte offset of every frame.
+The reader takes any stream of layer III (MPEG-1, 2 and 2.5): it reads ID3v2 (2.2 to 2.4, text frames and footer) and
+ID3v1 tags, looks for two consistent headers in a row when it loses step, checks the CRC-16 of protected frames, and
+returns exact durations (samples over rate) and the byte offset of every frame. Of a variable-bitrate table (Xing, Info
+or VBRI) it reads frame and byte counts, quality and the table of contents, and holds them against the frames walked:
+`vbr_ok` says whether counts agree and every entry of the table lies within a step of the frame it stands for (null
+without a table). `seek_offset` looks up a time in the offsets walked, or in the table alone. Frames of free format are
+no frames here: they are skipped bytes.
 
 Defined results. Null text is an empty one; a payload has at least one unit of 192 bytes. Equal texts give equal
 columns whatever their row. Null ids stay null. Damaged streams keep what frames remain, with `crc_errors`,
@@ -22,6 +26,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +46,7 @@ SIDE = 17  # bytes of side information of a mono MPEG-1 frame
 OVERHEAD = 4 + 2 + SIDE
 SIZES = [144 * r * 1000 // HZ for r in RATES_1]
 OWNER = b"keyloom.payload\x00"
-FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, samples long, sample_rate int, duration_ms double, crc_errors int, skipped_bytes long, seek_offsets array<int>, feature string"
+FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, samples long, sample_rate int, duration_ms double, crc_errors int, skipped_bytes long, seek_offsets array<int>, vbr_kind string, vbr_frames long, vbr_bytes long, vbr_quality int, vbr_ok boolean, tags map<string,string>, feature string"
 
 
 def crc16(data: bytes) -> int:
@@ -127,6 +132,18 @@ def encode(payload: bytes) -> bytes:
     return id3(payload) + first + bytes(SIZES[0] - len(first)) + audio
 
 
+@dataclass
+class Table:
+    """A variable-bitrate table: counts are None where not stated; points are bytes from the table's frame at equal shares
+    of the time."""
+
+    kind: str
+    frames: int | None = None
+    size: int | None = None
+    quality: int | None = None
+    points: list[int] = field(default_factory=list)
+
+
 @dataclass
 class Stream:
     payload: bytes | None = None
@@ -137,21 +154,102 @@ class Stream:
     skipped: int = 0
     offsets: list[int] = field(default_factory=list)
     kbps: set[int] = field(default_factory=set)
-    vbr_frames: int | None = None
+    table: Table | None = None
+    table_ok: bool | None = None
+    tags: dict[str, str] = field(default_factory=dict)
+
+
+def unsynchsafe(b: bytes) -> int:
+    return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
+
+
+def id3_text(body: bytes) -> str:
+    """The text of a text frame: its first byte names the encoding."""
+    codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0] if body else 0, "latin-1")
+    return body[1:].decode(codec, "replace").rstrip("\x00")
+
+
+def read_id3(data: bytes) -> tuple[int, list[tuple[str, bytes]]]:
+    """(length of the ID3v2 tag, its frames) at the beginning of a stream; an unreadable frame ends them."""
+    if len(data) < 10 or data[:3] != b"ID3" or max(data[6:10]) > 0x7F:
+        return 0, []
+    version, flags, size = data[3], data[5], unsynchsafe(data[6:10])
+    body, frames, at = data[10 : 10 + size], [], 0
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\x00", b"\xff")
+    if flags & 0x40 and len(body) >= 4:  # an extended header
+        at = unsynchsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    name, head = (3, 6) if version == 2 else (4, 10)
+    while at + head <= len(body) and body[at]:
+        raw = body[at + name : at + 2 * name]
+        n = unsynchsafe(raw) if version == 4 else int.from_bytes(raw, "big")
+        if at + head + n > len(body):
+            break
+        frames.append((body[at : at + name].decode("latin-1"), body[at + head : at + head + n]))
+        at += head + n
+    return 10 + size + (10 if version == 4 and flags & 0x10 else 0), frames
+
+
+def private(frames: list[tuple[str, bytes]]) -> tuple[int, int] | None:
+    """Length and CRC-32 of the payload, from the private frame of that owner."""
+    for name, body in frames:
+        if name == "PRIV" and body.startswith(OWNER) and len(body) == len(OWNER) + 12:
+            return int.from_bytes(body[-12:-4], "big"), int.from_bytes(body[-4:], "big")
+    return None
 
 
-def private(tag: bytes) -> tuple[int, int] | None:
-    """Length and CRC-32 of the payload, from an ID3v2 body."""
-    at = 0
-    while at + 10 <= len(tag) and tag[at]:
-        n = int.from_bytes(tag[at + 4 : at + 8], "big")
-        body = tag[at + 10 : at + 10 + n]
-        if tag[at : at + 4] == b"PRIV" and body.startswith(OWNER) and len(body) == len(OWNER) + 12:
-            return int.from_bytes(body[-12:-4], "big"), int.from_bytes(body[-4:], "big")
-        at += 10 + n
+def id3v1(tag: bytes) -> dict[str, str]:
+    """Title, artist, album and year of the 128 bytes at the end of a stream."""
+    fields = {"TIT2": tag[3:33], "TPE1": tag[33:63], "TALB": tag[63:93], "TYER": tag[93:97]}
+    return {k: t for k, v in fields.items() if (t := v.split(b"\x00")[0].decode("latin-1").strip())}
+
+
+def table_of(frame: bytes, f: Frame) -> Table | None:
+    """The variable-bitrate table in a frame, if it holds one."""
+    number = lambda at, n=4: int.from_bytes(frame[at : at + n], "big")
+    at = 4 + 2 * f.protected + f.side
+    if frame[at : at + 4] in (b"Xing", b"Info") and len(frame) >= at + 8:
+        out, flags, at = Table(frame[at : at + 4].decode()), number(at + 4), at + 8
+        if flags & 1:
+            out.frames, at = number(at), at + 4
+        if flags & 2:
+            out.size, at = number(at), at + 4
+        if flags & 4:
+            toc, at = frame[at : at + 100], at + 100
+            out.points = [x * (out.size or 0) // 256 for x in toc] if out.size and len(toc) == 100 else []
+        if flags & 8 and at + 4 <= len(frame):
+            out.quality = number(at)
+        return out
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        out = Table("VBRI", number(50), number(46), number(44, 2))
+        entries, scale, width = number(54, 2), number(56, 2), number(58, 2)
+        if width in (1, 2, 4) and 62 + entries * width <= len(frame):
+            steps = [number(62 + k * width, width) * scale for k in range(entries)]
+            out.points = [f.size, *(f.size + x for x in accumulate(steps))][:entries]
+        return out
     return None
 
 
+def table_agrees(table: Table, start: int, end: int, offsets: list[int]) -> bool:
+    """Whether a table's counts are those of the frames walked, and each of its points at most two steps of the table or
+    two frames from its frame."""
+    if table.frames is not None and table.frames != len(offsets) or table.size is not None and table.size not in (end - start, end - (offsets[0] if offsets else end)):
+        return False
+    if not table.points or not offsets:
+        return True
+    share = len(table.points)
+    slack = 2 * max((end - start) // 256 + 1, *(b - a for a, b in pairwise([*offsets, end])))
+    return all(abs(start + x - offsets[min(k * len(offsets) // share, len(offsets) - 1)]) <= slack for k, x in enumerate(table.points))
+
+
+def seek_offset(ms: float, duration_ms: float, offsets: list[int] | None, table: Table | None = None, start: int = 0) -> int | None:
+    """Byte to start reading at for a time: the frame that holds it, or the table's point at or before it."""
+    points = offsets or (table and [start + x for x in table.points])
+    if not points or duration_ms <= 0 or not 0 <= ms < duration_ms:
+        return None
+    return points[int(ms * len(points) / duration_ms)]
+
+
 _CRCS: dict[bytes, int] = {}
 
 
@@ -175,14 +273,14 @@ def followed(data: bytes, at: int, f: Frame, end: int) -> bool:
 def decode(data: bytes) -> Stream:
     """Walk a stream from tag to tag. A header counts if its frame's checksum holds or another one follows the frame;
     lost step is found again at the next header that one follows."""
-    out, at, stated, parts = Stream(), 0, None, []
-    end = len(data)
-    if data[:3] == b"ID3" and len(data) >= 10:
-        n = data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]
-        stated = private(data[10 : 10 + n])
-        at = 10 + n
+    out, stated, parts, end = Stream(), None, [], len(data)
+    at, frames = read_id3(data)
+    stated = private(frames)
+    out.tags = {k: id3_text(v) for k, v in frames if k[0] == "T" and k[:3] != "TXX"}
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
+        out.tags = id3v1(data[end - 128 : end]) | out.tags
         end -= 128
+    start = at
     first = True
     while at + 4 <= end:
         f = frame_of(data[at : at + 4])
@@ -198,9 +296,8 @@ def decode(data: bytes) -> Stream:
             at = to if to >= 0 else end
             continue
         body = at + 4 + 2 * f.protected + f.side
-        if first and data[body : body + 4] in (b"Xing", b"Info"):
-            if data[body + 7] & 1:
-                out.vbr_frames = int.from_bytes(data[body + 8 : body + 12], "big")
+        if first and (table := table_of(data[at : at + f.size], f)):
+            out.table, start = table, at
         else:
             out.crc_errors += f.protected and not sound
             out.frames += 1
@@ -212,6 +309,8 @@ def decode(data: bytes) -> Stream:
         first = False
         at += f.size
     out.skipped += max(0, end - at)
+    if out.table:
+        out.table_ok = table_agrees(out.table, start, end, out.offsets)
     if stated is not None:
         payload = b"".join(parts)[: stated[0]]
         if len(payload) == stated[0] and zlib.crc32(payload) == stated[1]:
@@ -247,21 +346,21 @@ def store(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def describe(media: bytes, n_bytes: int) -> tuple:
     s = decode(media)
-    payload = s.payload
+    payload, t = s.payload, s.table or Table("none")
     ms = 1000 * s.samples / s.hertz if s.hertz else 0.0
     seek = zlib.crc32(np.array(s.offsets, "<u4").tobytes())
-    feature = f"frames={s.frames};samples={s.samples};hz={s.hertz};kbps={min(s.kbps, default=0)}-{max(s.kbps, default=0)};vbr_frames={s.vbr_frames};crc_errors={s.crc_errors};skipped={s.skipped};seek={seek:08x}"
+    feature = f"frames={s.frames};samples={s.samples};hz={s.hertz};kbps={min(s.kbps, default=0)}-{max(s.kbps, default=0)};vbr_frames={t.frames};vbr_ok={s.table_ok};crc_errors={s.crc_errors};skipped={s.skipped};seek={seek:08x}"
     sha = payload is not None and hashlib.sha256(payload).hexdigest() or None
-    return (n_bytes, None if payload is None else len(payload), sha, None if payload is None else zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), s.frames, s.samples, s.hertz, ms, s.crc_errors, s.skipped, s.offsets, feature)
+    return (n_bytes, None if payload is None else len(payload), sha, None if payload is None else zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), s.frames, s.samples, s.hertz, ms, s.crc_errors, s.skipped, s.offsets, s.table and t.kind, t.frames, t.size, t.quality, s.table_ok, list(s.tags.items()), feature)
 
 
 def features(media: DataFrame) -> DataFrame:
     """Columns FEATURES of stored streams (doc_id, n_bytes, media)."""
     small_batches(media)
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.map_(pa.string(), pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *(x.split()[0] for x in FEATURES.split(", "))]
+        names = ["doc_id", *(x.split()[0] for x in FEATURES.split(", "))]  # the map's type holds no space
         for batch in batches:
             rows = [describe(m.as_py() or b"", n) for m, n in zip(batch.column(2), batch.column(1).to_pylist(), strict=True)]
             if rows:

@@ -212,7 +212,7 @@ def test_language_spans_and_scripts():
 def test_audio_round_trip(n):
     p = mp.padded(os.urandom(n))
     s = mp.decode(mp.encode(p))
-    assert s.payload == p and s.crc_errors == s.skipped == 0 and s.frames == s.vbr_frames == len(s.offsets)
+    assert s.payload == p and s.crc_errors == s.skipped == 0 and s.frames == s.table.frames == len(s.offsets) and s.table_ok
     assert len(p) % 192 == 0 and len(p) >= 192 and s.samples == 1152 * s.frames
 
 
@@ -231,6 +231,34 @@ def test_audio_damage():
     assert mp.decode(b"").frames == 0 and mp.decode(b"not audio at all").payload is None
 
 
+def vbri_stream(frames=40):
+    sizes = [4, 9, 13]
+    body = [mp.PREFIXES[sizes[k % 3]].ljust(mp.SIZES[sizes[k % 3]], b"x") for k in range(frames)]
+    per = 4
+    steps = [sum(map(len, body[k : k + per])) for k in range(0, frames, per)]
+    total = mp.SIZES[13] + sum(map(len, body))
+    first = mp.header(13, False).ljust(36, b"\0") + b"VBRI" + b"\0\1\0\0\0\x4b" + total.to_bytes(4, "big") + frames.to_bytes(4, "big") + len(steps).to_bytes(2, "big") + b"\0\1\0\2" + per.to_bytes(2, "big") + b"".join(x.to_bytes(2, "big") for x in steps)
+    return first.ljust(mp.SIZES[13], b"\0") + b"".join(body), body
+
+
+def test_variable_bitrate_tables_and_tags():
+    s = mp.decode(mp.encode(os.urandom(100_000)))
+    assert (s.table.kind, s.table.frames, s.table_ok, len(s.table.points)) == ("Xing", s.frames, True, 100)
+    data, body = vbri_stream()
+    s = mp.decode(data)
+    assert (s.table.kind, s.table.frames, s.table.size, s.table.quality, s.frames, s.table_ok) == ("VBRI", 40, len(data), 75, 40, True)
+    assert s.offsets == [mp.SIZES[13] + sum(map(len, body[:k])) for k in range(40)] and s.samples == 40 * 1152
+    assert s.table.points == s.offsets[::4]
+    assert mp.decode(data[: -len(body[-1])]).table_ok is False
+    ms = 40 * 1152 * 1000 / mp.HZ
+    assert mp.seek_offset(ms / 2, ms, s.offsets) == s.offsets[20] == mp.seek_offset(ms / 2, ms, None, s.table) and mp.seek_offset(ms, ms, s.offsets) is None
+    text = lambda name, b: name + len(b).to_bytes(4, "big") + b"\0\0" + b
+    frames = text(b"TIT2", b"\x03song") + text(b"TPE1", b"\1" + "näme".encode("utf-16"))
+    tag = b"ID3\4\0\x10" + mp.synchsafe(len(frames)) + frames + b"3DI\4\0\x10" + mp.synchsafe(len(frames))
+    s = mp.decode(tag + data + b"TAG" + b"old song".ljust(30, b"\0") + b"x".ljust(30, b"\0") + b"album".ljust(65, b"\0"))
+    assert s.tags == {"TIT2": "song", "TPE1": "näme", "TALB": "album"} and s.frames == 40 and s.skipped == 0
+
+
 # ---- templates, toxicity --------------------------------------------------------------------------------------------
 
 
