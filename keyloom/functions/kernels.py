@@ -80,10 +80,21 @@ def parse_double(text: Column) -> Column:
 
 
 def format_double(x: Column) -> Column:
-    """Shortest decimal text without exponent; whole numbers without a point, inf, -inf and nan by name."""
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,12)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    short = x.cast("string")
-    fixed = F.when(short.contains("E"), plain).otherwise(F.regexp_replace(short, r"\.0$", ""))
+    """Shortest decimal text without exponent; whole numbers without a point, inf, -inf and nan by name.
+
+    The shortest of 15, 16 or more digits that reads back as the number is taken apart into digits and the place of the
+    point, and written out with as many zeros as it needs.
+    """
+    digits_of = lambda n: F.format_string(f"%.{n - 1}E", x)
+    short = F.coalesce(*[F.when(digits_of(n).try_cast("double") == x, digits_of(n)) for n in (15, 16)], x.cast("string"))
+    sign = F.when(x < 0, "-").otherwise("")
+    mantissa = F.replace(F.substring_index(short, "E", 1), F.lit("-"), F.lit(""))
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "0+$", "")
+    point = F.instr(mantissa, ".") - 1 + F.when(short.contains("E"), F.substring_index(short, "E", -1).try_cast("int")).otherwise(0)
+    n = F.length(digits)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    large = F.when(n <= point, F.rpad(digits, point, "0")).otherwise(F.concat(digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n)))
+    fixed = F.concat(sign, F.when(point <= 0, small).otherwise(large))
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(x == 0, "0").otherwise(fixed)
 
 

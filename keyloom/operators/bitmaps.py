@@ -32,10 +32,10 @@ def bitcount(b: DataFrame, first: int | None = None, last: int | None = None) ->
 
 
 def bitpos(b: DataFrame, bit: int = 1, start: int = 0) -> DataFrame:
-    """First position from start on whose bit is `bit`."""
+    """First position from start on whose bit is `bit`; -1 for a key without one."""
     after = b.filter(F.col("pos") >= start)
     if bit:
-        return after.groupBy("key").agg(F.min("pos").alias("pos"))
+        return b.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("pos") >= start, F.col("pos"))), F.lit(-1)).alias("pos"))
     # the first gap: positions of a run from start on keep pos - rank constant
     runs = after.select("key", "pos").distinct()
     from pyspark.sql import Window as W
@@ -45,19 +45,30 @@ def bitpos(b: DataFrame, bit: int = 1, start: int = 0) -> DataFrame:
     return b.select("key").distinct().join(full, "key", "left").select("key", F.coalesce(F.col("last") + 1, F.lit(start).cast("long")).alias("pos"))
 
 
-def bitop(b: DataFrame, op: str, keys: Sequence[object]) -> DataFrame:
-    """(pos) of the result; keys without any bit are skipped, as are missing ones. NOT covers the source's whole bytes."""
+SPAN = 1 << 16  # positions that one row of a complement is spread over
+
+
+def bitop(b: DataFrame, op: str, keys: Sequence[object], n_bytes: int | None = None) -> DataFrame:
+    """(pos) of the result; keys without any bit are skipped, as are missing ones. A key named twice counts twice for XOR.
+
+    NOT covers n_bytes of the source; without it, the bytes up to the last set bit, as the table knows no more. Its
+    positions are dealt to tasks in spans.
+    """
+    twice = [k for k in dict.fromkeys(keys) if keys.count(k) % 2 == 0]
     keys = list(dict.fromkeys(keys))
     hit = b.filter(F.col("key").isin(keys)).select("key", "pos").distinct()
     if op == "NOT":
-        size = hit.agg(F.max("pos").alias("m")).filter("m IS NOT NULL")
-        every = size.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").bitwiseOR(F.lit(7)))).alias("pos"))
+        top = hit.agg(F.max("pos").alias("m")) if n_bytes is None else hit.sparkSession.range(1).select(F.lit(8 * n_bytes - 1).cast("long").alias("m"))
+        last = F.col("m").bitwiseOR(F.lit(7))
+        spans = top.filter("m >= 0").select(last.alias("last"), F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(SPAN).cast("long"))).alias("at")).repartition("at")
+        every = spans.select(F.explode(F.sequence("at", F.least("last", F.col("at") + SPAN - 1))).alias("pos"))
         return every.join(hit, "pos", "left_anti").select("pos")
     grouped = hit.groupBy("pos").agg(F.count("*").alias("n"))
     if op == "OR":
         return grouped.select("pos")
     if op == "XOR":
-        return grouped.filter(F.col("n") % 2 == 1).select("pos")
+        odd = hit.filter(~F.col("key").isin(twice)) if twice else hit
+        return odd.groupBy("pos").agg(F.count("*").alias("n")).filter(F.col("n") % 2 == 1).select("pos")
     present = hit.select("key").distinct().agg(F.count("*").alias("present"))
     return grouped.join(F.broadcast(present), F.col("n") == F.col("present")).select("pos")
 

@@ -167,16 +167,79 @@ def xautoclaim(x: DataFrame, pending: DataFrame, grp: str, consumer: str, now_ms
     return rest.join(kept, PEL, "left_semi"), deleted, rest
 
 
-def xsetid(x: DataFrame, key: object, ms: int, seq: int) -> DataFrame:
-    """One row `ok`: whether the id may become the key's last one (it must not be below its top entry)."""
-    top = x.filter(F.col("key") == lit(key)).agg(F.max(F.struct(*ID)).alias("t"))
-    return top.select((F.col("t").isNull() | (F.struct(F.lit(ms).cast("long").alias("id_ms"), F.lit(seq).cast("long").alias("id_seq")) >= F.col("t"))).alias("ok"))
+# ---- what a stream remembers of entries that are gone ------------------------------------------------------------------
 
+ZERO_ID = (0, 0)
 
-def xinfo_stream(x: DataFrame) -> DataFrame:
+
+def _id(ms: Column | int, seq: Column | int) -> Column:
+    return F.struct(lit(ms).cast("long").alias("id_ms"), lit(seq).cast("long").alias("id_seq"))
+
+
+def stream_meta(x: DataFrame) -> DataFrame:
+    """(key, last_id, entries_added, max_deleted_id) of streams that were never trimmed: the metadata to begin with."""
     gone = F.col("deleted") if "deleted" in x.columns else F.lit(False)
-    ids = F.struct(*ID)
-    return x.groupBy("key").agg(F.count_if(~gone).alias("length"), F.count("*").alias("entries_added"), F.max(ids).alias("last_id"), F.max(F.when(gone, ids)).alias("max_deleted_id"), F.min(F.when(~gone, ids)).alias("first_entry"))
+    ids = F.struct(*[F.col(c).cast("long").alias(c) for c in ID])
+    return x.groupBy("key").agg(F.max(ids).alias("last_id"), F.count("*").cast("long").alias("entries_added"), F.coalesce(F.max(F.when(gone, ids)), _id(*ZERO_ID)).alias("max_deleted_id"))
+
+
+def _merged(meta: DataFrame, delta: DataFrame) -> DataFrame:
+    both = meta.select("key", "last_id", "entries_added", "max_deleted_id").unionByName(delta)
+    return both.groupBy("key").agg(F.max("last_id").alias("last_id"), F.sum("entries_added").alias("entries_added"), F.max("max_deleted_id").alias("max_deleted_id"))
+
+
+def xadd_meta(meta: DataFrame, x: DataFrame, new: DataFrame, order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next table, next metadata, rejected): as xadd, but an id must also exceed the stream's last one, which trimming and
+    deleting leave as it is."""
+    remembered = meta.select("key", "last_id.id_ms", "last_id.id_seq")
+    held = x.select("key", *ID).unionByName(remembered)
+    accepted, rejected = xadd(held, new, order)
+    fresh = new.join(rejected.select("key", order), ["key", order], "left_anti")
+    added = fresh.groupBy("key").agg(F.max(_id(F.col("id_ms"), F.col("id_seq"))).alias("last_id"), F.count("*").alias("entries_added"), _id(*ZERO_ID).alias("max_deleted_id"))
+    rows = fresh.drop(order) if order not in x.columns else fresh
+    return x.unionByName(rows, allowMissingColumns=True), _merged(meta, added), rejected
+
+
+def xdel_meta(meta: DataFrame, gone: DataFrame) -> DataFrame:
+    """Metadata after XDEL of entries (key, id_ms, id_seq) that were there."""
+    top = gone.groupBy("key").agg(_id(*ZERO_ID).alias("last_id"), F.lit(0).cast("long").alias("entries_added"), F.max(_id(F.col("id_ms"), F.col("id_seq"))).alias("max_deleted_id"))
+    return _merged(meta, top)
+
+
+def xsetid(meta: DataFrame, x: DataFrame, key: object, ms: int, seq: int = 0, entries_added: int | None = None, max_deleted: tuple[int, int] | None = None) -> DataFrame:
+    """Metadata with the key's last id set; it must not be below the stream's top entry or its greatest deleted id."""
+    top = present(x).filter(F.col("key") == lit(key)).groupBy("key").agg(F.max(_id(F.col("id_ms"), F.col("id_seq"))).alias("__top"))
+    hit, new = F.col("key") == lit(key), _id(ms, seq)
+    deleted = _id(*max_deleted) if max_deleted else F.col("max_deleted_id")
+    error = lambda text: F.raise_error(F.lit(text)).cast("struct<id_ms:bigint,id_seq:bigint>")
+    checked = F.when(new < F.col("__top"), error("The ID specified in XSETID is smaller than the target stream top item")).when(new < deleted, error("The ID specified in XSETID is smaller than the provided max_deleted_entry_id")).otherwise(new)
+    out = meta.join(top, "key", "left").withColumn("last_id", F.when(hit, checked).otherwise(F.col("last_id")))
+    if entries_added is not None:
+        out = out.withColumn("entries_added", F.when(hit, F.lit(entries_added).cast("long")).otherwise(F.col("entries_added")))
+    if max_deleted:
+        out = out.withColumn("max_deleted_id", F.when(hit, deleted).otherwise(F.col("max_deleted_id")))
+    return out.drop("__top")
+
+
+def xinfo_stream(x: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """XINFO STREAM of every key; counts and last ids come from the metadata if it is given, so that a trim leaves them."""
+    now = present(x).groupBy("key").agg(F.count("*").alias("length"), F.min(F.struct(*ID)).alias("first_entry"))
+    known = stream_meta(x) if meta is None else meta
+    out = known.join(now, "key", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    none = F.col("max_deleted_id") == _id(*ZERO_ID)
+    return out.select("key", "length", "entries_added", "last_id", F.when(~none, F.col("max_deleted_id")).alias("max_deleted_id"), "first_entry")
+
+
+def xgroup_createconsumer(consumers: DataFrame, key: object, grp: str, consumer: str, now_ms: int) -> DataFrame:
+    """consumers (key, grp, consumer, seen_ms) with one more, unless it is there."""
+    new = consumers.sparkSession.range(1).select(lit(key).alias("key"), F.lit(grp).alias("grp"), F.lit(consumer).alias("consumer"), F.lit(now_ms).cast("long").alias("seen_ms"))
+    return consumers.unionByName(without(new, consumers, ["key", "grp", "consumer"]))
+
+
+def xgroup_delconsumer(consumers: DataFrame, pending: DataFrame, key: object, grp: str, consumer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(consumers, pending, one row with `dropped`): a consumer goes with its pending entries."""
+    hit = (F.col("key") == lit(key)) & (F.col("grp") == grp) & (F.col("consumer") == consumer)
+    return consumers.filter(~hit), pending.filter(~hit), pending.filter(hit).agg(F.count("*").alias("dropped"))
 
 
 def xinfo_groups(x: DataFrame, groups: DataFrame, pending: DataFrame) -> DataFrame:
@@ -186,5 +249,10 @@ def xinfo_groups(x: DataFrame, groups: DataFrame, pending: DataFrame) -> DataFra
     return groups.join(lag, ["key", "grp"], "left").join(held, ["key", "grp"], "left").fillna(0, ["pending", "consumers", "lag"])
 
 
-def xinfo_consumers(pending: DataFrame, now_ms: int) -> DataFrame:
+def xinfo_consumers(pending: DataFrame, now_ms: int, consumers: DataFrame | None = None) -> DataFrame:
+    """Pending entries and idle time of each consumer; with the consumers' table also of those that have none."""
+    if consumers is not None:
+        held = pending.groupBy("key", "grp", "consumer").agg(F.count("*").alias("pending"), F.max("delivery_ms").alias("last"))
+        both = consumers.join(held, ["key", "grp", "consumer"], "full")
+        return both.select("key", "grp", "consumer", F.coalesce("pending", F.lit(0)).alias("pending"), (F.lit(now_ms) - F.greatest("seen_ms", "last")).alias("idle_ms"))
     return pending.groupBy("key", "grp", "consumer").agg(F.count("*").alias("pending"), (F.lit(now_ms) - F.max("delivery_ms")).alias("idle_ms"))

@@ -21,14 +21,24 @@ def _shift(c: Column, n: int) -> Column:
     return F.call_function("shiftleft", c, F.lit(n)) if n >= 0 else F.call_function("shiftright", c, F.lit(-n))
 
 
+MASKS = {s: sum(((1 << s) - 1) << 2 * s * k for k in range(32 // s)) for s in (1, 2, 4, 8, 16)}  # runs of s bits, s apart
+
+
+def _folded(x: Column, steps: list[Column]) -> Column:
+    """x through the steps one after the other: each names its input twice, so it is bound to a variable, not repeated."""
+    return F.aggregate(F.array(*steps), x.cast("bigint"), lambda acc, s: acc.bitwiseOR(F.call_function("shiftleft", acc, s["up"])).bitwiseOR(F.call_function("shiftright", acc, s["down"])).bitwiseAND(s["mask"]))
+
+
 def spread(x: Column) -> Column:
-    """Bits of a number moved to the even places; the number is named once, so plans stay small."""
-    return F.conv(F.regexp_replace(F.bin(x), "(.)", "0$1"), 2, 10).cast("bigint")
+    """Bits of a number below 2^31 moved to the even places, by halves."""
+    step = lambda s: F.struct(F.lit(s).alias("up"), F.lit(63).alias("down"), F.lit(MASKS[s]).cast("bigint").alias("mask"))
+    return _folded(x, [step(s) for s in (16, 8, 4, 2, 1)])
 
 
 def squash(x: Column) -> Column:
-    """Inverse of spread: the even places' bits."""
-    return F.conv(F.regexp_replace(F.lpad(F.bin(x), 64, "0"), ".(.)", "$1"), 2, 10).cast("bigint")
+    """Inverse of spread: the even places' bits of a number below 2^62."""
+    step = lambda s, mask: F.struct(F.lit(0).alias("up"), F.lit(s).alias("down"), F.lit(mask).cast("bigint").alias("mask"))
+    return _folded(x.cast("bigint").bitwiseAND(F.lit(MASKS[1])), [step(1, MASKS[2]), step(2, MASKS[4]), step(4, MASKS[8]), step(8, MASKS[16]), step(16, (1 << 32) - 1)])
 
 
 def cell(lon: Column, lat: Column, step: int = STEP, lat_max: float = LAT_MAX) -> Column:
@@ -143,6 +153,11 @@ def centre_of(z: DataFrame, key: object, member: object) -> tuple[float, float]:
     return row["x"], row["y"]
 
 
+def georadiusbymember(z: DataFrame, key: object, member: object, radius: float, **options: object) -> DataFrame:
+    """GEORADIUSBYMEMBER: members of the key within a radius of one of them."""
+    return geosearch(z.filter(F.col("key") == lit(key)), *centre_of(z, key, member), radius=radius, **options)
+
+
 def geosearchstore(z: DataFrame, target: object, hits: DataFrame, store_distance: bool = False) -> DataFrame:
     """Next version in which target holds exactly the hits, scored by cell or by distance."""
     score = F.col("distance") if store_distance else F.col("score")

@@ -120,11 +120,26 @@ def set_root(d: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def mset(d: DataFrame, triples: list[tuple[Any, str, Any]]) -> DataFrame:
-    """Sets in order; a triple's key is touched alone."""
+    """Sets in order; a triple's key is touched alone. One pass over the table, however many triples there are; only the
+    documents named go through Python."""
+    steps: dict[Any, list[tuple[str, Any]]] = {}
     for key, path, value in triples:
-        hit = F.col("key") == lit(key)
-        d = d.filter(~hit).unionByName(set_(d.filter(hit), path, value))
-    return d
+        steps.setdefault(key, []).append((path, value))
+
+    @F.pandas_udf("string")
+    def run(keys: pd.Series, docs: pd.Series) -> pd.Series:
+        def one(key: Any, text: str | None) -> str | None:
+            if text is None:
+                return None
+            doc = json.loads(text)
+            for path, value in steps.get(key, ()):
+                doc = jp.set_(doc, path, value)[0]
+            return jp.dumps(doc)
+
+        return pd.Series([one(k, t) if t is not None else None for k, t in zip(keys, docs, strict=True)], dtype=object)
+
+    named = F.col("key").isin([lit(k) for k in steps])
+    return d.withColumn("doc", F.when(named, run(F.when(named, F.col("key")), F.when(named, F.col("doc")))).otherwise(F.col("doc")))
 
 
 def delete(d: DataFrame, path: str = "$") -> DataFrame:

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from keyloom.functions.kernels import MAX_TTL_MS, first_ranked, glob, lit, live, parse_double, ranked, without
 
 
+def _identity(k: DataFrame, asked: DataFrame) -> list[str]:
+    """What names a row of both tables: database and key, or the key alone where one of them has no database."""
+    return ["db", "key"] if "db" in k.columns and "db" in asked.columns else ["key"]
+
+
 def delete(k: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(next version, one row with `removed`)."""
-    return without(k, gone, ["key"]), k.join(gone.select("key").distinct(), "key", "left_semi").agg(F.count("*").alias("removed"))
+    """(next version, one row with `removed`). gone names keys, or (db, key) pairs."""
+    on = _identity(k, gone)
+    return without(k, gone, on), k.join(gone.select(*on).distinct(), on, "left_semi").agg(F.count("*").alias("removed"))
 
 
 def exists(k: DataFrame, asked: DataFrame) -> DataFrame:
@@ -129,12 +135,15 @@ def randomkey(k: DataFrame, seed: int = 0) -> DataFrame:
     return k.select("key").orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(1)
 
 
-def scan(k: DataFrame, cursor: int | None = None, count: int = 10, *, match: str = "*", type_: str | None = None, attr: str | None = None, min_bytes: int | None = None) -> DataFrame:
+def scan(k: DataFrame, cursor: Sequence | None = None, count: int = 10, *, match: str = "*", type_: str | None = None, attr: str | None = None, min_bytes: int | None = None) -> DataFrame:
     """A page of keys in hash order after cursor (the last page's greatest `cursor`), by keyset: no offset is counted.
 
+    A cursor is (hash, db, key), so a page may end between keys of equal hash and between databases that hold one key.
     attr: v (expiring), p (permanent), a (accessed), u (untouched).
     """
-    out = k.withColumn("cursor", F.xxhash64("key"))
+    db = F.col("db").cast("int") if "db" in k.columns else F.lit(0)
+    place = lambda h, d, x: F.struct(h.alias("hash"), d.alias("db"), x.alias("key"))
+    out = k.withColumn("cursor", place(F.xxhash64("key"), db, F.col("key")))
     if type_:
         out = out.filter(F.col("type") == type_)
     tests = {"v": F.col("expire_at_ms").isNotNull(), "p": F.col("expire_at_ms").isNull()}
@@ -147,14 +156,15 @@ def scan(k: DataFrame, cursor: int | None = None, count: int = 10, *, match: str
     if match != "*":
         out = out.filter(glob(F.col("key"), match))
     if cursor is not None:
-        out = out.filter(F.col("cursor") > cursor)
+        h, d, x = cursor
+        out = out.filter(F.col("cursor") > place(F.lit(h).cast("long"), F.lit(d).cast("int"), lit(x).cast(k.schema["key"].dataType)))
     return out.orderBy("cursor").limit(count)
 
 
 def rm(k: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
     """(removed page, next version)."""
     page = scan(k, **options)
-    return page, without(k, page, ["key"])
+    return page, without(k, page, _identity(k, page))
 
 
 def sort(elements: DataFrame, *, by: DataFrame | None = None, get: DataFrame | None = None, alpha: bool = False, descending: bool = False, offset: int = 0, count: int = -1) -> DataFrame:

@@ -59,6 +59,12 @@ def lset(x: DataFrame, i: int, value: object) -> DataFrame:
     return r.withColumn("value", F.when(F.col("rank") == (i if i >= 0 else -i - 1), lit(value)).otherwise(F.col("value"))).drop("rank")
 
 
+def lset_replies(x: DataFrame, i: int) -> DataFrame:
+    """(key, reply) of LSET: OK, or the error of a key whose list is too short (which lset leaves as it is)."""
+    short = F.col("length") <= (i if i >= 0 else -i - 1)
+    return llen(x).select("key", F.when(short, "ERR index out of range").otherwise("OK").alias("reply"))
+
+
 def lrem(x: DataFrame, count: int, value: object) -> DataFrame:
     """Without the first count occurrences of value (the last -count if negative, all if 0)."""
     same = F.col("value").eqNullSafe(lit(value))
@@ -87,14 +93,21 @@ def lpos(x: DataFrame, value: object, rank: int = 1, count: int | None = None, m
 
 
 def linsert(x: DataFrame, pivot: object, value: object, *, before: bool = True) -> DataFrame:
-    """Next version with value beside the first pivot of each key: its pos lies midway to the neighbour."""
+    """Next version with value beside the first pivot of each key: its pos lies midway to the neighbour. Where no number is
+    left between the two, the key's elements are numbered anew."""
     w = W.partitionBy("key").orderBy("pos")
     p = F.col("pos").cast("double")
     near = x.withColumn("__near", F.lag(p).over(w) if before else F.lead(p).over(w)).filter(F.col("value") == lit(pivot))
     first = near.groupBy("key").agg(F.min_by(F.struct(p.alias("pos"), "__near"), "pos").alias("r"))
     at = F.coalesce((F.col("r.pos") + F.col("r.__near")) / 2, F.col("r.pos") + (-1 if before else 1))
-    new = first.select("key", at.alias("pos"), lit(value).alias("value"))
-    return x.select("key", p.alias("pos"), "value").unionByName(new)
+    at = F.when((at == F.col("r.pos")) | at.eqNullSafe(F.col("r.__near")), None).otherwise(at)
+    new = first.select("key", at.alias("pos"), lit(value).alias("value"), F.col("r.pos").alias("pivot"))
+    full = new.filter("pos IS NULL").select("key", "pivot")
+    tight = x.select("key", p.alias("pos"), "value").join(full.select("key"), "key", "left_semi").withColumn("side", F.lit(0))
+    tight = tight.unionByName(full.select("key", F.col("pivot").alias("pos"), lit(value).alias("value"), F.lit(-1 if before else 1).alias("side")))
+    anew = ranked(tight, [F.asc("pos"), F.asc("side")]).select("key", F.col("rank").cast("double").alias("pos"), "value")
+    kept = x.select("key", p.alias("pos"), "value").join(full.select("key"), "key", "left_anti")
+    return kept.unionByName(new.filter("pos IS NOT NULL").select("key", "pos", "value")).unionByName(anew)
 
 
 def lmove(x: DataFrame, source: object, target: object, *, from_tail: bool = False, to_tail: bool = False) -> DataFrame:

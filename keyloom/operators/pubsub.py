@@ -48,6 +48,12 @@ def subscribe(subs: DataFrame, conn: object, *names: str) -> DataFrame:
     return subs.unionByName(new).dropDuplicates(["conn", "channel"])
 
 
+def punsubscribe(patterns: DataFrame, conn: object, *names: str) -> DataFrame:
+    """patterns (conn, pattern) without a connection's named patterns, or all of its patterns."""
+    hit = F.col("conn") == F.lit(conn)
+    return patterns.filter(~(hit & F.col("pattern").isin(list(names)) if names else hit))
+
+
 def unsubscribe(subs: DataFrame, conn: object, *names: str) -> DataFrame:
     hit = F.col("conn") == F.lit(conn)
     return subs.filter(~(hit & F.col("channel").isin(list(names)) if names else hit))

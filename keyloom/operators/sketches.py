@@ -8,10 +8,12 @@ are a long table (key, reg, val), so union is a maximum; hashes are 64 bits of S
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import random
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyloom.functions.kernels import first_ranked
@@ -140,15 +142,79 @@ def bloom_info(filters: DataFrame, capacity: int, error: float = 0.01) -> DataFr
     return filters.groupBy("key").agg(F.lit(capacity).alias("capacity"), F.lit(bits // 8).alias("bytes"), F.lit(hashes).alias("hashes"), F.sum(F.bit_count("mask")).alias("set_bits"))
 
 
+def bloom_layers(capacity: int, error: float, growth: int, layer: int) -> tuple[int, float]:
+    """(capacity, error) of a layer: each holds `growth` times the one before, at half its error, so that all together stay
+    below twice the first one's."""
+    return capacity * growth**layer, error / 2 ** (layer + 1)
+
+
+def bloom_grow(items: DataFrame, order: str, capacity: int = 100, error: float = 0.01, growth: int = 2, most: int = 24) -> DataFrame:
+    """(key, item, order) -> set bits (key, layer, word, mask) of a filter that grows: a key's items, in the order in which
+    they first come, fill one layer after the other."""
+    first = items.groupBy("key", F.col("item").cast("string").alias("item")).agg(F.min(order).alias("o"))
+    rank = F.row_number().over(W.partitionBy("key").orderBy("o", "item"))
+    full, layer = 0, F.lit(most - 1)
+    ends = []
+    for k in range(most):
+        full += bloom_layers(capacity, error, growth, k)[0]
+        ends.append(full)
+    for k in range(most - 2, -1, -1):
+        layer = F.when(F.col("rank") <= ends[k], k).otherwise(layer)
+    placed = first.withColumn("rank", rank).withColumn("layer", layer)
+    at = _layer_bits(placed.select("key", "layer", "item"), capacity, error, growth, most)
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(32)).cast("int"))
+    return at.groupBy("key", "layer", F.shiftright("at", 5).alias("word")).agg(F.bit_or(mask).alias("mask"))
+
+
+def _layer_bits(rows: DataFrame, capacity: int, error: float, growth: int, most: int) -> DataFrame:
+    """(key, layer, item) -> a row `at` for every bit of the item in that layer."""
+    dims = [bloom_dims(*bloom_layers(capacity, error, growth, k)) for k in range(most)]
+    pick = lambda n: F.get(F.array(*[F.lit(d[n]).cast("long") for d in dims]), F.col("layer"))
+    a, b = F.pmod(F.xxhash64("item"), F.lit(1 << 40)), F.pmod(F.xxhash64("item", F.lit(2)), F.lit(1 << 40))
+    rows = rows.withColumns({"a": a, "b": b, "bits": pick(0)})
+    return rows.select("key", "layer", "item", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), pick(1) - 1), lambda k: F.pmod(F.col("a") + F.col("b") * k, F.col("bits")))).alias("at"))
+
+
+def bloom_grow_exists(filters: DataFrame, asked: DataFrame, capacity: int = 100, error: float = 0.01, growth: int = 2, most: int = 24) -> DataFrame:
+    """asked (key, item) with `found`: all bits of some layer."""
+    layers = filters.select("key", "layer").distinct()
+    wanted = asked.select("key", F.col("item").cast("string").alias("item")).distinct()
+    at = _layer_bits(wanted.join(layers, "key"), capacity, error, growth, most).withColumn("word", F.shiftright("at", 5))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(32)).cast("int"))
+    hit = F.coalesce(F.col("mask"), F.lit(0)).bitwiseAND(bit) != 0
+    each = at.join(filters, ["key", "layer", "word"], "left").groupBy("key", "item", "layer").agg(F.min(hit.cast("int")).alias("all"))
+    found = each.groupBy(F.col("key").alias("__key"), F.col("item").alias("__item")).agg(F.max("all").alias("found"))
+    out = asked.select("key", "item").join(found, (F.col("key") == F.col("__key")) & (F.col("item").cast("string") == F.col("__item")), "left")
+    return out.select("key", "item", F.coalesce("found", F.lit(0)).alias("found"))
+
+
+def bloom_scandump(filters: DataFrame, words: int = 1 << 16) -> DataFrame:
+    """(key, cursor, data): a filter's set words as checksummed chunks of at most `words` words; no chunk holds a whole key."""
+    layer = F.col("layer") if "layer" in filters.columns else F.lit(0)
+    chunk = filters.select("key", layer.cast("int").alias("layer"), "word", "mask").groupBy("key", "layer", F.floor(F.col("word") / words).alias("part"))
+    body = chunk.agg(F.to_json(F.array_sort(F.collect_list(F.struct("word", "mask")))).alias("body"))
+    return body.select("key", F.concat_ws(":", "layer", "part").alias("cursor"), F.concat(F.lpad(F.hex(F.crc32(F.col("body").cast("binary"))), 8, "0"), F.lit(":"), F.col("body")).alias("data"))
+
+
+def bloom_loadchunk(chunks: DataFrame) -> DataFrame:
+    """The filter (key, layer, word, mask) of its chunks; a damaged one raises."""
+    body = F.col("data").substr(F.lit(10), F.length("data"))
+    sound = F.col("data").substr(1, 8) == F.lpad(F.hex(F.crc32(body.cast("binary"))), 8, "0")
+    rows = F.from_json(F.when(sound, body).otherwise(F.raise_error(F.lit("bad chunk")).cast("string")), "array<struct<word:bigint,mask:bigint>>")
+    return chunks.select("key", F.substring_index("cursor", ":", 1).cast("int").alias("layer"), F.inline(rows))
+
+
 # ---- cuckoo ---------------------------------------------------------------------------------------------------------
 
 
 class Cuckoo:
-    """A cuckoo filter of 8-bit fingerprints with sub-filters that grow by `expansion`."""
+    """A cuckoo filter of 8-bit fingerprints. Every sub-filter has a power of two of buckets, so that a bucket and its
+    alternate lead to each other; `expansion` is rounded up to one, and 0 forbids growth."""
 
     def __init__(self, capacity: int = 1024, bucket: int = 2, kicks: int = 20, expansion: int = 1) -> None:
-        self.bucket, self.kicks, self.expansion = bucket, kicks, expansion
-        self.base = 1 << max(0, math.ceil(math.log2(max(1, capacity / bucket))))
+        self.bucket, self.kicks = bucket, kicks
+        self.expansion = expansion and 1 << (expansion - 1).bit_length()
+        self.base = 1 << max(0, (-(-capacity // bucket) - 1).bit_length())
         self.filters: list[list[list[int]]] = [self._empty(0)]
         self.items = self.deleted = 0
 
@@ -156,53 +222,66 @@ class Cuckoo:
         return [[] for _ in range(self.base * max(1, self.expansion) ** k)]
 
     @staticmethod
-    def _hash(item: object) -> tuple[int, int]:
+    def _marks(item: object) -> tuple[int, int]:
+        """(fingerprint 1 to 255, bucket hash) of an item, from two halves of one 128-bit hash."""
         import xxhash
 
-        h = xxhash.xxh3_64_intdigest(str(item).encode())
-        return h % 255 + 1, h
+        high, low = divmod(xxhash.xxh3_128_intdigest(str(item).encode()), 1 << 64)
+        return high % 255 + 1, low
 
-    def _buckets(self, f: list, fp: int, h: int) -> tuple[int, int]:
-        n = len(f)
-        a = h % n
-        return a, (a ^ fp * 0x5BD1E995) % n
+    @staticmethod
+    def _other(at: int, mark: int, f: list) -> int:
+        """The alternate of a bucket: an involution, as it flips bits that the fingerprint alone chooses."""
+        spread = (mark * 0x9E3779B97F4A7C15 >> 13) | 1
+        return (at ^ spread) & (len(f) - 1)
+
+    def _places(self, f: list, mark: int, h: int) -> list[int]:
+        at = h & (len(f) - 1)
+        return list(dict.fromkeys((at, self._other(at, mark, f))))
+
+    def _settle(self, f: list, mark: int, at: list[int]) -> bool:
+        for b in at:
+            if len(f[b]) < self.bucket:
+                f[b].append(mark)
+                return True
+        return False
 
     def count(self, item: object) -> int:
-        fp, h = self._hash(item)
-        return sum(f[b].count(fp) for f in self.filters for b in set(self._buckets(f, fp, h)))
+        mark, h = self._marks(item)
+        return sum(f[b].count(mark) for f in self.filters for b in self._places(f, mark, h))
 
-    def add(self, item: object) -> bool:
-        fp, h = self._hash(item)
-        for f in reversed(self.filters):
-            for b in self._buckets(f, fp, h):
-                if len(f[b]) < self.bucket:
-                    f[b].append(fp)
-                    self.items += 1
-                    return True
-        f, undo = self.filters[-1], []
-        at, moving = self._buckets(f, fp, h)[0], fp
+    def _evict(self, f: list, mark: int, at: int) -> bool:
+        """Make room along a chain of at most `kicks` moves; all of them are undone if it does not end."""
+        chain = []
         for k in range(self.kicks):
             slot = k % self.bucket
-            undo.append((at, slot, f[at][slot]))
-            f[at][slot], moving = moving, f[at][slot]
-            at = (at ^ moving * 0x5BD1E995) % len(f)
+            f[at][slot], mark = mark, f[at][slot]
+            chain.append((at, slot))
+            at = self._other(at, mark, f)
             if len(f[at]) < self.bucket:
-                f[at].append(moving)
-                self.items += 1
+                f[at].append(mark)
                 return True
-        for at, slot, old in reversed(undo):
-            f[at][slot] = old
-        if self.expansion == 0:
-            return False
-        self.filters.append(self._empty(len(self.filters)))
-        return self.add(item)
+        for at, slot in reversed(chain):
+            f[at][slot], mark = mark, f[at][slot]
+        return False
+
+    def add(self, item: object) -> bool:
+        """False if the filter is full and may not grow."""
+        mark, h = self._marks(item)
+        newest = self.filters[-1]
+        done = any(self._settle(f, mark, self._places(f, mark, h)) for f in reversed(self.filters)) or self._evict(newest, mark, self._places(newest, mark, h)[0])
+        if not done and self.expansion:
+            self.filters.append(self._empty(len(self.filters)))
+            done = self._settle(self.filters[-1], mark, self._places(self.filters[-1], mark, h))
+        self.items += done
+        return done
 
     def delete(self, item: object) -> bool:
-        fp, h = self._hash(item)
+        mark, h = self._marks(item)
         for f in reversed(self.filters):
-            for b in self._buckets(f, fp, h):
-                if fp in f[b]:
-                    f[b].remove(fp)
+            for b in self._places(f, mark, h):
+                if mark in f[b]:
+                    f[b].remove(mark)
                     self.items -= 1
                     self.deleted += 1
                     if len(self.filters) > 1 and self.deleted > self.items / 10:
@@ -211,42 +290,76 @@ class Cuckoo:
         return False
 
     def compact(self) -> None:
-        """Drop trailing sub-filters that are empty."""
-        while len(self.filters) > 1 and not any(self.filters[-1]):
+        """Move fingerprints of newer sub-filters to older ones that have room, and drop sub-filters left empty. A bucket's
+        low bits are its place in a smaller sub-filter, as both take them from one hash."""
+        for k in range(len(self.filters) - 1, 0, -1):
+            for b, held in enumerate(self.filters[k]):
+                self.filters[k][b] = [m for m in held if not any(self._settle(f, m, list(dict.fromkeys((b & (len(f) - 1), self._other(b & (len(f) - 1), m, f))))) for f in self.filters[:k])]
+            if any(self.filters[k]):
+                break
             self.filters.pop()
         self.deleted = 0
 
     def info(self) -> dict[str, int]:
         return {"size": sum(len(f) * self.bucket for f in self.filters), "buckets": sum(map(len, self.filters)), "filters": len(self.filters), "items": self.items, "deleted": self.deleted, "bucket_size": self.bucket, "expansion": self.expansion, "max_iterations": self.kicks}
 
-
-def cuckoo_fold(log: DataFrame, order: str, **params: int) -> DataFrame:
-    """log (key, order, op, item) -> (key, order, reply): ADD, ADDNX, DEL, EXISTS and COUNT in order, one filter per key.
-
-    The log is dealt by key, sorted and streamed: a task holds one key's filter, not its log.
-    """
+    def apply(self, op: str, item: object) -> int:
+        """The reply of one command; MEXISTS and INSERT are rows of one item each."""
+        if op in ("ADD", "INSERT"):
+            return 1 if self.add(item) else (0 if op == "ADD" else -1)
+        if op in ("ADDNX", "INSERTNX"):
+            return 0 if self.count(item) else 1 if self.add(item) else -1
+        if op == "DEL":
+            return int(self.delete(item))
+        if op == "COUNT":
+            return self.count(item)
+        if op in ("EXISTS", "MEXISTS"):
+            return int(self.count(item) > 0)
+        if op == "COMPACT":
+            self.compact()
+            return 1
+        raise ValueError(f"unknown cuckoo command {op}")
+
+
+def _folded(log: DataFrame, order: str, start: Callable[[], object], reply: Callable[[object, str, str, int], object], kind: str, at_end: Callable[[object], tuple] | None = None) -> DataFrame:
+    """A log (key, order, op, item[, by]) folded in order over one state per key. The log is dealt by key, sorted and
+    streamed: a task holds one key's state, not its log. Replies are rows (key, o, reply), or with at_end one row a key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, cf = None, None
+        key, state = None, None
+        names = kind.replace(", ", " ").split()[::2]
         for pdf in frames:
             out = []
-            for k, o, op, item in zip(pdf["key"], pdf["o"], pdf["op"], pdf["item"], strict=True):
-                if cf is None or k != key:
-                    key, cf = k, Cuckoo(**params)
-                if op == "ADD":
-                    reply = int(cf.add(item))
-                elif op == "ADDNX":
-                    reply = 0 if cf.count(item) else 1 if cf.add(item) else -1
-                elif op == "DEL":
-                    reply = int(cf.delete(item))
-                else:
-                    reply = cf.count(item) if op == "COUNT" else int(cf.count(item) > 0)
-                out.append((k, o, reply))
-            yield pd.DataFrame(out, columns=["key", "o", "reply"])
-
-    kind = log.schema["key"].dataType.simpleString()
-    dealt = log.select("key", F.col(order).cast("long").alias("o"), "op", F.col("item").cast("string").alias("item")).repartition("key").sortWithinPartitions("key", "o")
-    return dealt.mapInPandas(run, f"key {kind}, o long, reply long")
+            for k, o, op, item, by in zip(pdf["key"], pdf["o"], pdf["op"], pdf["item"], pdf["by"], strict=True):
+                if state is None or k != key:
+                    if at_end and state is not None:
+                        out.append((key, *at_end(state)))
+                    key, state = k, start()
+                r = reply(state, op, item, by)
+                if not at_end:
+                    out.append((k, o, r))
+            yield pd.DataFrame(out, columns=["key", *names])
+        if at_end and state is not None:
+            yield pd.DataFrame([(key, *at_end(state))], columns=["key", *names])
+
+    by = F.col("by").cast("long") if "by" in log.columns else F.lit(1).cast("long")
+    dealt = log.select("key", F.col(order).cast("long").alias("o"), "op", F.col("item").cast("string").alias("item"), by.alias("by")).repartition("key").sortWithinPartitions("key", "o")
+    return dealt.mapInPandas(run, f"key {log.schema['key'].dataType.simpleString()}, {kind}")
+
+
+def cuckoo_fold(log: DataFrame, order: str, **params: int) -> DataFrame:
+    """log (key, order, op, item) -> (key, o, reply): ADD, ADDNX, INSERT, INSERTNX, DEL, EXISTS, MEXISTS, COUNT and COMPACT in
+    order, one filter per key; CF.RESERVE's numbers are the parameters. Other commands raise."""
+    return _folded(log, order, lambda: Cuckoo(**params), lambda cf, op, item, by: cf.apply(op, item), "o long, reply long")
+
+
+def cuckoo_info(log: DataFrame, order: str, **params: int) -> DataFrame:
+    """CF.INFO of every key's filter after the log."""
+    names = list(Cuckoo().info())
+    return _folded(log, order, lambda: Cuckoo(**params), lambda cf, op, item, by: cf.apply(op, item), ", ".join(f"{n} long" for n in names), lambda cf: tuple(cf.info().values()))
+
+
+cuckoo_add = cuckoo_addnx = cuckoo_insert = cuckoo_insertnx = cuckoo_del = cuckoo_exists = cuckoo_mexists = cuckoo_count = cuckoo_compact = cuckoo_reserve = cuckoo_fold
 
 
 # ---- top-k ----------------------------------------------------------------------------------------------------------
@@ -274,3 +387,83 @@ def topk_count(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def topk_sketch(log: DataFrame, k: int) -> DataFrame:
     """(key, top): an approximate top-k sketch's estimate, of fixed size per key."""
     return log.groupBy("key").agg(F.expr(f"approx_top_k(item, {int(k)}, 10000)").alias("top"))
+
+
+class HeavyKeeper:
+    """Top-k by decaying counters: `depth` rows of `width` cells (fingerprint, count), and the k items with the greatest
+    estimates. Another item's cell loses one with probability decay ** count for every occurrence; draws are seeded."""
+
+    def __init__(self, k: int, width: int = 8, depth: int = 7, decay: float = 0.9, seed: int = 1) -> None:
+        self.k, self.width, self.depth, self.decay = k, width, depth, decay
+        self.cells = [[(0, 0)] * width for _ in range(depth)]
+        self.top: dict[str, int] = {}
+        self.draw = random.Random(seed).random
+
+    def _cells_of(self, item: str) -> list[tuple[int, int, int]]:
+        import xxhash
+
+        mark = xxhash.xxh3_64_intdigest(item.encode())
+        return [(row, xxhash.xxh3_64_intdigest(item.encode(), row + 1) % self.width, mark) for row in range(self.depth)]
+
+    def estimate(self, item: str) -> int:
+        return max((n for row, at, mark in self._cells_of(item) for m, n in [self.cells[row][at]] if m == mark), default=0)
+
+    def add(self, item: str, by: int = 1) -> str | None:
+        """The item that leaves the top k for this one, if any."""
+        for row, at, mark in self._cells_of(item):
+            m, n = self.cells[row][at]
+            left = by
+            if m != mark:
+                while left and n:
+                    n -= self.draw() < self.decay**n
+                    left -= 1
+                m = mark if n == 0 else m
+            if m == mark:
+                n += left
+            self.cells[row][at] = (m, n)
+        now = self.estimate(item)
+        if item in self.top or len(self.top) < self.k and now:
+            self.top[item] = max(now, self.top.get(item, 0))
+            return None
+        least = min(self.top.items(), key=lambda x: (x[1], x[0]), default=None)
+        if least is None or now <= least[1]:
+            return None
+        del self.top[least[0]]
+        self.top[item] = now
+        return least[0]
+
+    def listed(self) -> list[tuple[str, int]]:
+        return sorted(self.top.items(), key=lambda x: (-x[1], x[0]))
+
+    def apply(self, op: str, item: str, by: int) -> str | None:
+        if op in ("ADD", "INCRBY"):
+            return self.add(item, by if op == "INCRBY" else 1)
+        if op == "QUERY":
+            return str(int(item in self.top))
+        if op == "COUNT":
+            return str(self.estimate(item))
+        raise ValueError(f"unknown top-k command {op}")
+
+
+def topk_fold(log: DataFrame, order: str, k: int, **params: float) -> DataFrame:
+    """log (key, order, op, item[, by]) -> (key, o, reply): ADD and INCRBY reply the expelled item or null, QUERY 0 or 1, COUNT
+    the estimate; TOPK.RESERVE's numbers are the parameters."""
+    return _folded(log, order, lambda: HeavyKeeper(k, **params), lambda hk, op, item, by: hk.apply(op, item, by), "o long, reply string")
+
+
+def topk_fold_list(log: DataFrame, order: str, k: int, **params: float) -> DataFrame:
+    """(key, item, cnt): TOPK.LIST WITHCOUNT of every key's counters after the log, with their decay."""
+    both = _folded(log, order, lambda: HeavyKeeper(k, **params), lambda hk, op, item, by: hk.apply(op, item, by), "items string", lambda hk: ("\n".join(f"{n} {x}" for x, n in hk.listed()),))
+    rows = both.select("key", F.explode(F.split("items", "\n(?=[0-9]+ )")).alias("r")).filter("r <> ''")
+    return rows.select("key", F.substring_index("r", " ", 1).cast("long").alias("cnt"), F.expr("substring(r, instr(r, ' ') + 1)").alias("item"))
+
+
+def topk_info(k: int, width: int = 8, depth: int = 7, decay: float = 0.9) -> dict[str, float]:
+    return {"k": k, "width": width, "depth": depth, "decay": decay}
+
+
+def topk_reserve(k: int, width: int = 8, depth: int = 7, decay: float = 0.9) -> dict[str, float]:
+    """Checked parameters of a top-k."""
+    if not 1 <= k <= 100_000 or width < 1 or depth < 1 or not 0 <= decay <= 1:
+        raise ValueError("invalid top-k parameters")
+    return topk_info(k, width, depth, decay)

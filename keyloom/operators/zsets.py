@@ -14,10 +14,28 @@ def _order(reverse: bool = False) -> list[Column]:
     return [F.desc("score"), F.desc("member")] if reverse else [F.asc("score"), F.asc("member")]
 
 
-def zadd(z: DataFrame, new: DataFrame, *, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False) -> DataFrame:
-    """Next version with new (key, member, score); NX with GT or LT is refused, GT and LT still insert new members."""
+def _one_each(new: DataFrame, order: str | None, nx: bool, gt: bool, lt: bool, incr: bool) -> DataFrame:
+    """One row for each (key, member) of a batch, as its rows would leave it one after the other: increments add up, GT and
+    LT keep the greatest or least, NX the first and others the last one in the order of a column. Without one, the
+    greatest score counts as last and the least as first."""
+    score = F.col("score")
+    if incr:
+        one = F.sum(score)
+    elif gt or lt:
+        one = F.max(score) if gt else F.min(score)
+    elif order is not None:
+        one = F.min_by(score, order) if nx else F.max_by(score, order)
+    else:
+        one = F.min(score) if nx else F.max(score)
+    return new.groupBy("key", "member").agg(one.alias("score"))
+
+
+def zadd(z: DataFrame, new: DataFrame, *, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False, order: str | None = None) -> DataFrame:
+    """Next version with new (key, member, score); NX with GT or LT is refused, GT and LT still insert new members. A member
+    may come repeatedly (see _one_each)."""
     if nx and (gt or lt):
         raise ValueError("GT, LT, and/or NX options at the same time are not compatible")
+    new = _one_each(new, order, nx, gt, lt, incr)
     joined = new.alias("n").join(z.select("key", "member", F.col("score").alias("old")), ["key", "member"], "left")
     score = F.coalesce(F.col("old"), F.lit(0.0)) + F.col("score") if incr else F.col("score")
     joined = joined.withColumn("score", score)
@@ -33,8 +51,9 @@ def zadd(z: DataFrame, new: DataFrame, *, nx: bool = False, xx: bool = False, gt
     return upsert(z, joined.filter(ok).select("key", "member", "score"), ["key", "member"])
 
 
-def zadd_reply(z: DataFrame, new: DataFrame, *, changed: bool = False) -> DataFrame:
-    """(key, reply): members added, or with `changed` also those whose score changes."""
+def zadd_reply(z: DataFrame, new: DataFrame, *, changed: bool = False, order: str | None = None) -> DataFrame:
+    """(key, reply): members added, or with `changed` also those whose score changes; each counts once."""
+    new = _one_each(new, order, False, False, False, False)
     joined = new.join(z.select("key", "member", F.col("score").alias("old")), ["key", "member"], "left")
     counts = F.col("old").isNull() | (F.lit(changed) & (F.col("old") != F.col("score")))
     return joined.groupBy("key").agg(F.count_if(counts).alias("reply"))

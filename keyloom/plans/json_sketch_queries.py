@@ -98,3 +98,31 @@ query("cuckoo_no_false_negative", "", "SELECT c_nationkey % 3 AS key, 2 * count(
 query("topk_list", "", "SELECT * FROM (SELECT l_suppkey % 20 AS key, l_partkey AS item, count(*)::BIGINT AS cnt, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY count(*) DESC, l_partkey) - 1 AS rank FROM lineitem GROUP BY 1, 2) WHERE rank < 5")(lambda s, d: k.topk_list(k.topk_counts(log(s, d)), 5))
 query("topk_query", "", "SELECT key, item, (rank < 5)::INTEGER AS found FROM (SELECT l_suppkey % 20 AS key, l_partkey AS item, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY count(*) DESC, l_partkey) - 1 AS rank FROM lineitem GROUP BY 1, 2)")(lambda s, d: k.topk_query(k.topk_counts(log(s, d)), 5, pairs(s, d).distinct()))
 query("topk_sketch")(lambda s, d: k.topk_sketch(log(s, d), 5))
+
+
+def deletes(s, d):
+    """Every customer added, those of even numbers deleted, then all of them asked for."""
+    c = table(s, d, "customer").select((F.col("c_nationkey") % 3).alias("key"), F.col("c_custkey").alias("item"))
+    ops = [c.select("key", (F.lit(n * 10_000_000) + F.col("item")).alias("o"), F.lit(op).alias("op"), "item") for n, op in enumerate(("INSERT", "DEL", "EXISTS"))]
+    return ops[0].unionByName(ops[1].filter("item % 2 = 0")).unionByName(ops[2].filter("item % 2 = 1"))
+
+
+query("cuckoo_delete", "", "SELECT c_nationkey % 3 AS key, count(*) FILTER (c_custkey % 2 = 0) AS deleted, count(*) FILTER (c_custkey % 2 = 1) AS found FROM customer GROUP BY 1")(
+    lambda s, d: k.cuckoo_fold(deletes(s, d), "o", capacity=64, expansion=3).withColumn("n", F.floor(F.col("o") / 10_000_000)).groupBy("key").agg(F.sum(F.when(F.col("n") == 1, F.col("reply"))).alias("deleted"), F.sum(F.when(F.col("n") == 2, F.col("reply"))).alias("found"))
+)
+query("cuckoo_info", "", "SELECT c_nationkey % 3 AS key, count(*) FILTER (c_custkey % 2 = 1) AS items, 4 AS expansion, 2 AS bucket_size FROM customer GROUP BY 1")(lambda s, d: k.cuckoo_info(deletes(s, d), "o", capacity=64, expansion=3).select("key", "items", "expansion", "bucket_size"))
+query("topk_fold", "", "SELECT key, string_agg(cnt::VARCHAR, ',' ORDER BY cnt DESC) AS counts FROM (SELECT l_suppkey % 20 AS key, count(*) AS cnt, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY count(*) DESC) AS n FROM lineitem GROUP BY 1, l_partkey) WHERE n <= 5 GROUP BY 1")(
+    lambda s, d: k.topk_fold_list(table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), F.lit("ADD").alias("op"), F.col("l_partkey").alias("item")), "o", 5, width=4096, depth=5)
+    .groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list("cnt"), False), lambda x: x.cast("string")), ",").alias("counts"))
+)
+
+
+def grown(s, d):
+    """A growing filter, written out in chunks and loaded again."""
+    ordered = table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("key"), F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    return k.bloom_loadchunk(k.bloom_scandump(k.bloom_grow(ordered, "o", 100), 64))
+
+
+query("bloom_grow", "", "SELECT l_suppkey % 20 AS key, ceil(log2(count(DISTINCT l_partkey) / 100.0 + 1))::BIGINT AS layers, 1 AS found FROM lineitem GROUP BY 1")(
+    lambda s, d: k.bloom_grow_exists(grown(s, d), pairs(s, d).distinct()).groupBy("key").agg(F.min("found").alias("found")).join(grown(s, d).groupBy("key").agg(F.count_distinct("layer").alias("layers")), "key")
+)

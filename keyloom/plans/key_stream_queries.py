@@ -72,7 +72,7 @@ query("sort_by_get", "", f"{MEM} SELECT key, value, row_number() OVER (PARTITION
 
 XC = ["key", "id_ms", "id_seq", "event_id", "user_id", "value"]
 LO, HI = 1_704_100_000_000, 1_705_000_000_000
-query("xadd_ids", "xen", "SELECT * FROM xen")(lambda s, d: xen(s, d))
+query("xadd_ids", "xen", "SELECT * FROM xen")(lambda s, d: e.auto_ids(xen(s, d).drop("id_seq"), "event_id"))
 query("xlen", "xen", "SELECT key, count(*) AS length FROM xen GROUP BY key")(lambda s, d: e.xlen(xen(s, d)))
 
 
@@ -156,3 +156,36 @@ query("debug_populate", "", "SELECT 'k:' || i AS key, rpad('value:' || i, 20, 'x
 query("debug_uniq_strs", "", "SELECT event_type AS type, count(*) AS total, count(DISTINCT props) AS unique, sum(length(props))::BIGINT AS bytes FROM events GROUP BY 1")(lambda s, d: r.unique_strings(table(s, d, "events").select(F.col("event_type").alias("type"), F.col("props").alias("text")), exact=True).select("type", "total", "unique", "bytes"))
 query("command_stats", "", "SELECT event_type AS name, count(*) AS calls, sum(event_id) AS micros FROM events GROUP BY 1")(lambda s, d: r.command_stats(table(s, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("micros"))).drop("micros_per_call"))
 query("slowlog", "", "SELECT event_id AS seq, event_id * 7 % 20000 AS micros FROM events WHERE event_id * 7 % 20000 >= 10000 ORDER BY event_id DESC LIMIT 20")(lambda s, d: r.slowlog(table(s, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") * 7 % 20000).alias("micros"))))
+
+
+def shared_keys(s, d):
+    """A key table in which databases hold keys of the same names."""
+    o = table(s, d, "orders")
+    return o.select((F.col("o_orderkey") % 4).cast("int").alias("db"), F.concat(F.lit("k:"), F.floor(F.col("o_orderkey") / 8).cast("string")).alias("key"), F.lit("string").alias("type"), F.lit(None).cast("long").alias("expire_at_ms")).distinct()
+
+
+SHARED = "SELECT DISTINCT o_orderkey % 4 AS db, 'k:' || (o_orderkey // 8) AS key FROM orders"
+
+
+def _scanned(s, d):
+    """Two pages: together they are the table."""
+    one = k.scan(shared_keys(s, d), None, 101)
+    last = one.agg(F.max("cursor").alias("c")).first()["c"]
+    return one.unionByName(k.scan(shared_keys(s, d), last, 100_000_000)).select("db", "key")
+
+
+query("scan_dbs", "", SHARED)(lambda s, d: _scanned(s, d))
+query("rm_dbs", "", f"SELECT count(*) - 33 AS n FROM ({SHARED})")(lambda s, d: k.rm(shared_keys(s, d), count=33)[1].agg(F.count("*").alias("n")))
+query("del_dbs", "", f"SELECT db, key FROM ({SHARED}) WHERE db <> 1")(lambda s, d: k.delete(shared_keys(s, d), shared_keys(s, d).filter("db = 1").select("db", "key"))[0].select("db", "key"))
+
+
+def _trimmed(s, d):
+    """Every entry trimmed away, then added again: all are refused, and the counts stand."""
+    x, meta = xen(s, d), e.stream_meta(xen(s, d))
+    left, after, refused = e.xadd_meta(meta, e.xtrim_maxlen(x, 0), x, "event_id")
+    info = e.xinfo_stream(left, after).select("key", "length", "entries_added")
+    return info.join(refused.groupBy("key").agg(F.count("*").alias("refused")), "key")
+
+
+query("xadd_after_trim", "xen", "SELECT key, 0 AS length, count(*) AS entries_added, count(*) AS refused FROM xen GROUP BY 1")(lambda s, d: _trimmed(s, d))
+query("xsetid", "xen", "SELECT key, CASE WHEN key = 'view' THEN 9000000000000 ELSE max(id_ms) END AS last_ms, CASE WHEN key = 'view' THEN 7 ELSE count(*) END AS entries_added FROM xen GROUP BY 1")(lambda s, d: e.xsetid(e.stream_meta(xen(s, d)), xen(s, d), "view", 9_000_000_000_000, 5, entries_added=7).select("key", F.col("last_id.id_ms").alias("last_ms"), "entries_added"))

@@ -115,7 +115,7 @@ query("throttle_gcra")(lambda s, d: g.throttle(table(s, d, "events").select(F.co
 
 query("bitcount", "bit", "SELECT key, count(*) AS bits FROM bit GROUP BY key")(lambda s, d: b.bitcount(bit(s, d)))
 query("bitcount_range", "bit", "SELECT key, count(*) FILTER (pos BETWEEN 10 AND 99) AS bits FROM bit GROUP BY key")(lambda s, d: b.bitcount(bit(s, d), 10, 99))
-query("bitpos", "bit", "SELECT key, min(pos) AS pos FROM bit WHERE pos >= 20 GROUP BY key")(lambda s, d: b.bitpos(bit(s, d), 1, 20))
+query("bitpos", "bit", "SELECT key, coalesce(min(pos) FILTER (pos >= 20), -1) AS pos FROM bit GROUP BY key")(lambda s, d: b.bitpos(bit(s, d), 1, 20))
 MOD = "m AS (SELECT o_orderpriority AS key, o_custkey AS pos FROM orders GROUP BY 1, 2)"
 
 
@@ -133,3 +133,10 @@ query("bitop_not", "", f"WITH {MOD} SELECT p AS pos FROM range(0, (SELECT (max(p
 query("bitcount_binary", "", "SELECT p_partkey AS key, length(replace(array_to_string(list_transform(range(1, octet_length(encode(p_brand)) + 1), lambda i: bin(('0x' || hex(encode(p_brand)[i:i]))::INTEGER)), ''), '0', '')) AS bits FROM part")(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("key"), b.bitcount_of(F.col("p_brand")).alias("bits")))
 query("bitfield_ro", "", "SELECT p_partkey AS key, ('0x' || hex(encode(p_brand)[1:2]))::BIGINT AS f FROM part")(lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("key"), b.bitfield_ro(F.col("p_brand"), "u16", 0).alias("f")))
 query("bitfield")(lambda s, d: b.bitfield_all(table(s, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("value")), [("INCRBY", "u8", 0, 10), ("OVERFLOW", "SAT"), ("INCRBY", "i8", "#1", 100), ("GET", "u4", 0)]).select("key", F.hex("value").alias("value"), F.array_join("replies", ",").alias("replies")))
+query("bitop_xor_repeat", "", f"WITH {MOD} {PAIR.format('5-LOW')}")(lambda s, d: b.bitop(bits(s, d), "XOR", ["1-URGENT", "5-LOW", "1-URGENT"]))
+query("bitop_not_bytes", "", f"WITH {MOD} SELECT p AS pos FROM range(0, 800000) r(p) WHERE p NOT IN ({PAIR.format('5-LOW')})")(lambda s, d: b.bitop(bits(s, d), "NOT", ["5-LOW"], n_bytes=100_000))
+query("bitpos_none", "", f"WITH {MOD} SELECT DISTINCT key, -1 AS pos FROM m")(lambda s, d: b.bitpos(bits(s, d), 1, 1 << 40))
+query("incrbyfloat_extremes", "", "SELECT p_partkey AS key, CASE WHEN p_partkey = 0 THEN '0' WHEN p_partkey % 2 = 0 THEN p_partkey || repeat('0', 25) ELSE '-0.' || rtrim(lpad(p_partkey::VARCHAR, 20, '0'), '0') END AS value FROM part")(
+    lambda s, d: g.incrbyfloat(table(s, d, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_partkey"), F.lit("e25"))).otherwise(F.concat(F.lit("-"), F.col("p_partkey"), F.lit("e-20"))).alias("value")), table(s, d, "part").select(F.col("p_partkey").alias("key"), F.lit(0.0).alias("by"), F.lit(1).alias("o")), "o")
+)
+query("lset_replies", "lst", "SELECT key, CASE WHEN count(*) <= 3 THEN 'ERR index out of range' ELSE 'OK' END AS reply FROM lst GROUP BY 1")(lambda s, d: x.lset_replies(lst(s, d), -4))

@@ -34,3 +34,14 @@ def _groups(s, d):
     reads = e.filter("event_id % 10 >= 5").select(F.col("event_type").alias("key"), F.lit("g").alias("grp"), (F.col("event_id") + 10_000_000).alias("seq"), F.lit("READ").alias("op"), F.lit("c1").alias("consumer"), F.lit(0).cast("long").alias("id_ms"), F.lit(0).cast("long").alias("id_seq"), F.lit(50).cast("long").alias("n"), F.col("ms").alias("now_ms"))
     out = drained(st.consumer_group(adds.unionByName(reads)))
     return out.filter("op = 'READ'").groupBy("key").agg(F.count("*").alias("delivered"))
+
+
+def _moves(s, d):
+    """Every third event moves an element from one list to another, the others push."""
+    e = events(s, d)
+    third = F.col("event_id") % 3 == 0
+    name = F.col("event_id").cast("string")
+    return e.select(F.col("event_type").alias("grp"), F.col("event_id").alias("seq"), F.when(third, "BLMOVE").otherwise("RPUSH").alias("op"), name.alias("conn"), F.array(F.lit("a")).alias("keys"), name.alias("value"), F.lit("b").alias("target"), F.lit("L").alias("side"), F.lit("R").alias("to_side"), F.lit(1).cast("long").alias("n"), F.col("ms").alias("now_ms"), F.lit(0).cast("long").alias("deadline_ms"))
+
+
+query("stream_blmove", "", "WITH e AS (SELECT event_type AS grp, event_id, row_number() OVER (PARTITION BY event_type, event_id % 3 = 0 ORDER BY event_id) AS n, event_id % 3 = 0 AS pop FROM events) SELECT a.grp, a.event_id::VARCHAR AS conn, 'a' AS key, b.event_id::VARCHAR AS value FROM e a JOIN e b ON a.pop AND NOT b.pop AND a.grp = b.grp AND a.n = b.n")(lambda s, d: drained(st.blocking_lists(_moves(s, d), timers=False)))

@@ -20,12 +20,11 @@ ALIASES: dict[str, Callable] = {
     "DECR": strings.incrby, "DECRBY": strings.incrby,
     # bitmaps and geo
     "BITFIELD": bitmaps.bitfield_all, "GEORADIUS": geo.geosearch, "GEORADIUS_RO": geo.geosearch,
-    "GEORADIUSBYMEMBER": geo.centre_of, "GEORADIUSBYMEMBER_RO": geo.centre_of,
+    "GEORADIUSBYMEMBER": geo.georadiusbymember, "GEORADIUSBYMEMBER_RO": geo.georadiusbymember,
     # sketches
     "BF.RESERVE": sketches.bloom_dims, "BF.MADD": sketches.bloom_add, "BF.MEXISTS": sketches.bloom_exists,
-    "BF.SCANDUMP": snapshots.chunks, "BF.LOADCHUNK": snapshots.from_chunks, "CMS.INITBYDIM": sketches.cms_incrby,
-    "CMS.INITBYPROB": sketches.cms_dims, "TOPK.RESERVE": sketches.topk_sketch, "TOPK.ADD": sketches.topk_counts,
-    "TOPK.INCRBY": sketches.topk_counts, "TOPK.INFO": sketches.topk_list,
+    "CMS.INITBYDIM": sketches.cms_incrby,
+    "CMS.INITBYPROB": sketches.cms_dims, "TOPK.ADD": sketches.topk_fold, "TOPK.INCRBY": sketches.topk_fold,
     # JSON
     "JSON.FORGET": json_docs.delete, "JSON.DEL": json_docs.delete, "JSON.SET": json_docs.set_, "JSON.TYPE": json_docs.type_,
     "JSON.DEBUG": json_docs.debug_fields,
@@ -34,23 +33,23 @@ ALIASES: dict[str, Callable] = {
     "TYPE": keys.type_of, "KEYS": keys.matching, "RENAMENX": keys.rename, "SORT_RO": keys.sort,
     # lists
     "LPUSH": lists.push, "RPUSH": lists.push, "LPUSHX": lists.push, "RPUSHX": lists.push, "LPOP": lists.pop, "RPOP": lists.pop,
-    "RPOPLPUSH": lists.lmove, "BLPOP": stateful.blocking_queue, "BRPOP": stateful.blocking_queue, "BLMOVE": stateful.blocking_queue,
-    "BRPOPLPUSH": stateful.blocking_queue, "BLMPOP": stateful.blocking_queue,
+    "RPOPLPUSH": lists.lmove, "BLPOP": stateful.blocking_queue, "BRPOP": stateful.blocking_queue, "BLMOVE": stateful.blocking_lists,
+    "BRPOPLPUSH": stateful.blocking_lists, "BLMPOP": stateful.blocking_lists,
     # hashes and sets
     "HMSET": hashes.hset, "SISMEMBER": sets.smismember, "SINTERSTORE": sets.sstore, "SUNIONSTORE": sets.sstore, "SDIFFSTORE": sets.sstore,
     # sorted sets
     "ZREVRANK": zsets.zrank, "ZREVRANGE": zsets.zrange, "ZRANGESTORE": zsets.zstore, "ZUNION": zsets.zcombine, "ZINTER": zsets.zcombine,
     "ZUNIONSTORE": zsets.zstore, "ZINTERSTORE": zsets.zstore, "ZDIFFSTORE": zsets.zstore, "ZREVRANGEBYSCORE": zsets.zrangebyscore,
     "ZREVRANGEBYLEX": zsets.zrangebylex, "ZREMRANGEBYSCORE": zsets.zremrange, "ZREMRANGEBYLEX": zsets.zremrange,
-    "ZPOPMIN": zsets.zpop, "ZPOPMAX": zsets.zpop, "ZLEXCOUNT": zsets.zcount, "BZMPOP": stateful.blocking_scores,
+    "ZPOPMIN": zsets.zpop, "ZPOPMAX": zsets.zpop, "ZLEXCOUNT": zsets.zcount, "BZMPOP": stateful.blocking_zsets,
     "BZPOPMIN": stateful.blocking_scores, "BZPOPMAX": stateful.blocking_scores,
     # streams
     "XREVRANGE": entries.xrange, "XTRIM": entries.xtrim_maxlen, "XGROUP": entries.xgroup_create, "XINFO": entries.xinfo_stream,
     # publish and subscribe
     "PUBLISH": pubsub.publish_replies, "SPUBLISH": pubsub.publish_replies, "SSUBSCRIBE": pubsub.subscribe,
-    "SUNSUBSCRIBE": pubsub.unsubscribe, "PSUBSCRIBE": pubsub.pattern_fanout, "PUNSUBSCRIBE": pubsub.unsubscribe, "PUBSUB": pubsub.numsub,
+    "SUNSUBSCRIBE": pubsub.unsubscribe, "PSUBSCRIBE": pubsub.pattern_fanout, "PUNSUBSCRIBE": pubsub.punsubscribe, "PUBSUB": pubsub.numsub,
     # server
-    "ECHO": Session.ping, "COMMAND": reports.command_stats, "INFO": reports.keyspace, "CONFIG": Session.config_get, "CLIENT": Session.reset,
+    "ECHO": Session.ping, "COMMAND": reports.command_stats, "INFO": reports.keyspace, "CONFIG": Session.config_get, "CLIENT": Session.client,
     "MEMORY": reports.memory_usage, "DEBUG": reports.unique_strings, "BGSAVE": snapshots.save, "MONITOR": Session.command_log,
     "SHUTDOWN": snapshots.save, "MODULE": control.module_list, "FUNCTION": Session.function_load, "SCRIPT": Session.script_load,
     "EVAL_RO": Session.eval, "EVALSHA_RO": Session.evalsha, "FCALL_RO": Session.fcall, "QUIT": control.quit_,
@@ -67,8 +66,6 @@ def resolve(command: str) -> Callable:
     for prefix, (module, stem) in PREFIXES.items():
         if name.startswith(prefix):
             found = getattr(module, stem + name.removeprefix(prefix).lower(), None)
-            if found is None and module is sketches and prefix == "CF.":
-                found = sketches.cuckoo_fold
             if found is None:
                 raise KeyError(command)
             return found

@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 VERSION = 1
+MANIFEST = "version int, now_ms long, folder string, tables array<string>, schemas array<string>"
 
 
 def save(tables: dict[str, DataFrame], path: str, now_ms: int) -> None:
-    """SAVE: every table, partitioned by db where it has one, and a manifest row written last."""
-    spark = None
+    """SAVE: every table in a fresh folder, partitioned by db where it has one, and then a row of the manifest that names the
+    folder. Until that row stands, the snapshot before is the one that is loaded; a failed save leaves it whole."""
+    spark, fresh = None, f"set-{now_ms}-{uuid.uuid4().hex}"
     for name, df in tables.items():
         spark = df.sparkSession
-        w = df.write.mode("overwrite")
-        (w.partitionBy("db") if "db" in df.columns else w).parquet(f"{path}/{name}")
+        (df.write.partitionBy("db") if "db" in df.columns else df.write).parquet(f"{path}/{fresh}/{name}")
     if spark is not None:
-        spark.createDataFrame([(VERSION, now_ms, sorted(tables))], "version int, now_ms long, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+        spark.createDataFrame([(VERSION, now_ms, fresh, sorted(tables), [tables[n].schema.json() for n in sorted(tables)])], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/_manifest")
+
+
+def _latest(spark: SparkSession, path: str) -> Row:
+    """The newest row of the manifest; of equal times, the one with the last folder name."""
+    return spark.read.schema(MANIFEST).json(f"{path}/_manifest").orderBy(F.desc("now_ms"), F.desc("folder")).first()
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], int]:
     """(tables, time of the snapshot)."""
-    m = spark.read.schema("version int, now_ms long, tables array<string>").json(f"{path}/_manifest").first()
-    return {name: spark.read.parquet(f"{path}/{name}") for name in m["tables"]}, m["now_ms"]
+    m = _latest(spark, path)
+    read = lambda name, schema: spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{path}/{m['folder']}/{name}")
+    return {name: read(name, schema) for name, schema in zip(m["tables"], m["schemas"], strict=True)}, m["now_ms"]
 
 
 def lastsave(spark: SparkSession, path: str) -> int:
-    return spark.read.schema("version int, now_ms long").json(f"{path}/_manifest").agg(F.max("now_ms")).first()[0] // 1000
+    return _latest(spark, path)["now_ms"] // 1000
 
 
 def dump(df: DataFrame) -> DataFrame:
@@ -48,13 +59,3 @@ def restore(df: DataFrame, payloads: DataFrame, *, replace: bool = False) -> Dat
         return df.join(payloads.select("key").distinct(), "key", "left_anti").unionByName(rows)
     taken = payloads.join(df.select("key").distinct(), "key", "left_semi").select(F.raise_error(F.lit("BUSYKEY Target key name already exists.")).cast("string").alias("x"))
     return df.unionByName(rows.join(taken.filter(F.col("x").isNotNull()), F.lit(True), "left_anti"))
-
-
-def chunks(payload: bytes, size: int = 16 << 20) -> list[tuple[int, bytes]]:
-    """(cursor, part) of a sketch's bytes, as SCANDUMP hands them out."""
-    return [(i // size + 1, payload[i : i + size]) for i in range(0, len(payload), size)]
-
-
-def from_chunks(parts: list[tuple[int, bytes]]) -> bytes:
-    return b"".join(p for _, p in sorted(parts))
-

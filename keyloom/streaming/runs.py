@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """The folder that all executors share; our own only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/keyloom-streams").rstrip("/")
+from keyloom.functions.shared import remove, shared_dir
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +19,8 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming plan over everything its sources hold now, and read its sink."""
     spark = stream.sparkSession
-    base = f"{folder(spark)}/run-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")

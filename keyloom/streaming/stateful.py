@@ -123,6 +123,99 @@ def blocking_scores(commands: DataFrame, timers: bool = True) -> DataFrame:
     return fold(commands, ["queue"], "queue string, conn string, member string, score double", step, late if timers else None)
 
 
+def _served(held: dict, have: Callable[[str], bool], serve: Callable[[dict, str], list[tuple]]) -> list[tuple]:
+    """Replies to waiters, first come, first served, each from the first of its keys that has elements; a reply may fill
+    another key, so the round begins anew after each."""
+    out: list[tuple] = []
+    while True:
+        ready = next(((k, w, key) for k, w in enumerate(held["waiters"]) for key in w["keys"] if have(key)), None)
+        if ready is None:
+            return out
+        k, w, key = ready
+        held["waiters"].pop(k)
+        out += serve(w, key)
+
+
+def _deadlines(blank: tuple) -> Callable[[dict, int], list[tuple]]:
+    def late(held: dict, now: int) -> list[tuple]:
+        gone = [w for w in held.get("waiters", []) if w["deadline"] and w["deadline"] <= now]
+        held["waiters"] = [w for w in held.get("waiters", []) if w not in gone]
+        return [(w["conn"], *blank) for w in gone]
+
+    return late
+
+
+def blocking_lists(commands: DataFrame, timers: bool = True) -> DataFrame:
+    """(grp, seq, op, conn, keys, value, target, side, to_side, n, now_ms, deadline_ms) -> (grp, conn, key, value) replies.
+
+    Keys that one command names together share a group. op: LPUSH, RPUSH (the first of keys); BLPOP, BRPOP; BLMPOP of up to
+    n elements from a side (L or R); BLMOVE from keys' side to target's to_side; BRPOPLPUSH. Values that are moved are
+    replied and pushed, which may serve others that wait. A waiter whose deadline (0: never) has passed gets nulls.
+    """
+    late = _deadlines((None, None))
+
+    def step(held: dict, r: Any) -> list[tuple]:
+        lists = held.setdefault("lists", {})
+        held.setdefault("waiters", [])
+        out = late(held, int(r.now_ms))
+
+        def push(key: str, value: str, left: bool) -> None:
+            items = lists.setdefault(key, [])
+            items.insert(0, value) if left else items.append(value)
+
+        def serve(w: dict, key: str) -> list[tuple]:
+            items = lists[key]
+            taken = [items.pop(-1 if w["tail"] else 0) for _ in range(min(w["n"], len(items)))]
+            if not items:
+                del lists[key]
+            if w["target"] is not None:
+                push(w["target"], taken[0], w["to_head"])
+            return [(w["conn"], key, v) for v in taken]
+
+        keys = list(r.keys)
+        if r.op in ("LPUSH", "RPUSH"):
+            push(keys[0], r.value, r.op == "LPUSH")
+        elif r.op in ("BLPOP", "BRPOP", "BLMPOP", "BLMOVE", "BRPOPLPUSH"):
+            moves = r.op in ("BLMOVE", "BRPOPLPUSH")
+            tail = r.op in ("BRPOP", "BRPOPLPUSH") or r.op in ("BLMPOP", "BLMOVE") and r.side == "R"
+            held["waiters"].append({"conn": str(r.conn), "keys": keys, "tail": tail, "n": int(r.n) if r.op == "BLMPOP" else 1, "target": r.target if moves else None, "to_head": r.op == "BRPOPLPUSH" or r.to_side == "L", "deadline": int(r.deadline_ms)})
+        else:
+            raise ValueError(f"unknown command {r.op}")
+        return out + _served(held, lambda k: k in lists, serve)
+
+    return fold(commands, ["grp"], "grp string, conn string, key string, value string", step, late if timers else None)
+
+
+def blocking_zsets(commands: DataFrame, timers: bool = True) -> DataFrame:
+    """As blocking_lists for sorted sets: (grp, seq, op, conn, keys, member, score, side, n, now_ms, deadline_ms) -> (grp, conn,
+    key, member, score). op: ZADD, BZPOPMIN, BZPOPMAX, BZMPOP of up to n members (side MIN or MAX)."""
+    late = _deadlines((None, None, None))
+
+    def step(held: dict, r: Any) -> list[tuple]:
+        sets = held.setdefault("sets", {})
+        held.setdefault("waiters", [])
+        out = late(held, int(r.now_ms))
+
+        def serve(w: dict, key: str) -> list[tuple]:
+            order = sorted(sets[key], key=lambda m: (sets[key][m], m), reverse=w["high"])[: w["n"]]
+            taken = [(w["conn"], key, m, sets[key].pop(m)) for m in order]
+            if not sets[key]:
+                del sets[key]
+            return taken
+
+        keys = list(r.keys)
+        if r.op == "ZADD":
+            sets.setdefault(keys[0], {})[r.member] = float(r.score)
+        elif r.op in ("BZPOPMIN", "BZPOPMAX", "BZMPOP"):
+            high = r.op == "BZPOPMAX" or r.op == "BZMPOP" and r.side == "MAX"
+            held["waiters"].append({"conn": str(r.conn), "keys": keys, "high": high, "n": int(r.n) if r.op == "BZMPOP" else 1, "deadline": int(r.deadline_ms)})
+        else:
+            raise ValueError(f"unknown command {r.op}")
+        return out + _served(held, lambda k: k in sets, serve)
+
+    return fold(commands, ["grp"], "grp string, conn string, key string, member string, score double", step, late if timers else None)
+
+
 def consumer_group(commands: DataFrame) -> DataFrame:
     """(key, grp, seq, op, consumer, id_ms, id_seq, n, now_ms) -> (key, grp, seq, op, consumer, id_ms, id_seq, deliveries).
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from keyloom import registry
 from keyloom.functions import jsonpath as jp
 from keyloom.functions.kernels import format_double, glob, index_bounds, parse_double, parse_long
-from keyloom.operators import bitmaps, control, geo, hashes, keys, lists, sets, sketches, strings, zsets
+from keyloom.operators import bitmaps, control, entries, geo, hashes, json_docs, keys, lists, pubsub, sets, sketches, strings, zsets
 from keyloom.session import Session, TransactionError
 from keyloom.sources import snapshots
+from keyloom.streaming import stateful
+from keyloom.streaming.runs import drained
 
 
 def one(spark, *cols):
@@ -133,7 +135,7 @@ def test_session(spark):
     s.watch("k")
     s.multi()
     s.write("k", lambda d: d.limit(0))
-    assert s.read("k").count() == 1 and s.exec() is True and s.tables["k"].count() == 0
+    assert s.read("k").count() == 1 and s.exec() is True and s.read("k").count() == 0 and s.tables["k"].count() == 1
     s.watch("k")
     s.versions["k"] += 1
     s.multi()
@@ -164,3 +166,137 @@ def test_snapshots(spark, tmp_path):
         snapshots.restore(t, p).collect()
     with pytest.raises(Exception, match="checksum"):
         snapshots.restore(t.limit(0), p.withColumn("payload", F.concat("payload", F.lit(" ")))).collect()
+
+
+def test_double_texts(spark):
+    values = [1e30, 1.5e-13, 1e-15, -2.5e22, 1.7976931348623157e308, 5e-324, 123456.789, 1e7, 12345678.9, -0.001]
+    got = one(spark, *[format_double(F.lit(v)) for v in values])
+    for v, text in zip(values, got, strict=True):
+        assert "E" not in text and float(text) == v
+    assert got[0] == "1" + "0" * 30 and got[1] == "0.00000000000015" and got[3] == "-25000" + "0" * 18 and got[8] == "12345678.9"
+
+
+def test_geo_bits(spark):
+    xs = [0, 1, 5, 2**26 - 1, 0b1011001110001111]
+    for x, r in zip(xs, spark.createDataFrame([(x,) for x in xs], "x long").select("x", geo.spread(F.col("x")).alias("s"), geo.squash(geo.spread(F.col("x"))).alias("b")).collect(), strict=True):
+        assert r["b"] == x and r["s"] == sum((x >> k & 1) << 2 * k for k in range(27))
+
+
+def test_linsert_numbers_anew(spark):
+    """A hundred insertions at one place keep their order."""
+    x = spark.createDataFrame([("l", 0, "a"), ("l", 1, "z")], "key string, pos long, value string")
+    s = Session(spark, {"l": x})
+    for k in range(60):
+        s.write("l", lambda d, k=k: lists.linsert(d, "z", f"v{k}"))
+    assert [r["value"] for r in s.read("l").orderBy("pos").collect()] == ["a", *(f"v{k}" for k in range(60)), "z"]
+    assert s.read("l").select("pos").distinct().count() == 62
+
+
+def test_session_databases_and_plans(spark):
+    """Writes touch the selected database; twenty of them leave a plan of one scan; a failing EXEC leaves nothing."""
+    t = spark.createDataFrame([(0, "a", "1"), (1, "a", "1"), (1, "b", "2")], "db int, key string, value string")
+    s = Session(spark, {"k": t})
+    s.write("k", lambda d: keys.delete(d, d.filter("key = 'a'"))[0])
+    assert sorted((r["db"], r["key"]) for r in s.tables["k"].collect()) == [(1, "a"), (1, "b")]
+    s.select(1)
+    by = spark.createDataFrame([("a", 2)], "key string, by long")
+    for _ in range(20):
+        s.write("k", lambda d: strings.incrby(d, by))
+    assert {(r["db"], r["key"]): r["value"] for r in s.tables["k"].collect()} == {(1, "a"): "41", (1, "b"): "2"}
+    assert s.tables["k"]._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+    def fails(d):
+        raise ArithmeticError
+
+    s.multi()
+    s.write("k", lambda d: d.limit(0))
+    s.write("k", fails)
+    with pytest.raises(ArithmeticError):
+        s.exec()
+    assert s.tables["k"].count() == 2
+    s.client("SETNAME", "me")
+    assert s.client("getname") == "me" and s.client("LIST").first()["name"] == "me"
+    with pytest.raises(NotImplementedError):
+        s.client("KILL", "1")
+
+
+def test_cuckoo_keeps_all_it_accepts():
+    for expansion in (1, 2, 3, 5):
+        c = sketches.Cuckoo(64, expansion=expansion)
+        assert all(c.apply("INSERT", i) == 1 for i in range(3000)) and c.apply("INSERTNX", 7) == 0
+        assert all(c.count(i) for i in range(3000))
+        filters = c.info()["filters"]
+        for i in range(0, 3000, 2):
+            c.delete(i)
+        assert all(c.count(i) for i in range(1, 3000, 2)) and c.info()["filters"] <= filters
+        c.apply("COMPACT", None)
+        assert all(c.count(i) for i in range(1, 3000, 2))
+    with pytest.raises(ValueError, match="unknown"):
+        c.apply("NOSUCH", 1)
+
+
+def test_heavy_keeper():
+    h = sketches.HeavyKeeper(2, width=64, depth=5)
+    assert [h.add(x) for x in "aaab"] == [None] * 4 and h.add("c") is None and h.add("c") == "b"
+    assert h.listed() == [("a", 3), ("c", 2)] and h.apply("QUERY", "b", 1) == "0" and h.apply("COUNT", "a", 1) == "3"
+    rough = sketches.HeavyKeeper(5, width=50, depth=4)
+    for k in range(20_000):
+        rough.add(f"hot{k % 4}" if k % 2 else f"cold{k}")
+    assert {x for x, _ in rough.listed()} >= {"hot1", "hot3"}
+    with pytest.raises(ValueError):
+        sketches.topk_reserve(0)
+
+
+def test_snapshot_that_fails_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "s")
+    t = spark.createDataFrame([(0, "a", 1)], "db int, key string, v int")
+    snapshots.save({"k": t}, path, 1_000)
+    with pytest.raises(Exception, match="stop"):
+        snapshots.save({"k": t.limit(0), "z": t.withColumn("x", F.raise_error(F.lit("stop")).cast("string"))}, path, 2_000)
+    tables, now = snapshots.load(spark, path)
+    assert now == 1_000 and tables["k"].count() == 1
+    snapshots.save({"k": t.limit(0)}, path, 3_000)
+    assert snapshots.load(spark, path)[0]["k"].count() == 0
+
+
+def test_json_mset_is_one_pass(spark):
+    d = spark.createDataFrame([(k, '{"a":1}') for k in range(30)], "key long, doc string")
+    out = json_docs.mset(d, [(k, "$.a", k) for k in range(20)] + [(3, "$.b", 9), (3, "$.a", 8)])
+    docs = {r["key"]: r["doc"] for r in out.collect()}
+    assert docs[3] == '{"a":8,"b":9}' and docs[19] == '{"a":19}' and docs[25] == '{"a":1}'
+    assert out._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 1
+
+
+def streamed(spark, rows, kind, path):
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(path))
+    return spark.readStream.schema(kind).parquet(str(path))
+
+
+def test_blocking_moves_and_pops(spark, tmp_path):
+    row = lambda seq, op, keys, value=None, target=None, side="L", to="L", n=1, conn="c", until=0: ("g", seq, op, f"{conn}{seq}", keys, value, target, side, to, n, seq, until)
+    log = [
+        row(1, "BLMPOP", ["x", "y"], n=2), row(2, "RPUSH", ["y"], "1"), row(3, "BLMOVE", ["x"], target="z", side="R", to="R"), row(4, "BLPOP", ["z"]),
+        row(5, "RPUSH", ["x"], "2"), row(6, "BRPOPLPUSH", ["w"], target="v", until=7), row(8, "RPUSH", ["w"], "3"), row(9, "BLMPOP", ["w", "x"], n=5),
+    ]
+    kind = "grp string, seq long, op string, conn string, keys array<string>, value string, target string, side string, to_side string, n long, now_ms long, deadline_ms long"
+    out = drained(stateful.blocking_lists(streamed(spark, log, kind, tmp_path / "lists"), timers=False))
+    assert sorted((r["conn"], r["key"], r["value"]) for r in out.collect()) == [("c1", "y", "1"), ("c3", "x", "2"), ("c4", "z", "2"), ("c6", None, None), ("c9", "w", "3")]
+    zlog = [("g", 1, "BZMPOP", "a", ["p", "q"], None, None, "MAX", 2, 1, 0), ("g", 2, "ZADD", "b", ["q"], "m", 1.0, None, 0, 2, 0), ("g", 3, "ZADD", "b", ["p"], "n", 5.0, None, 0, 3, 0), ("g", 4, "BZPOPMIN", "c", ["p"], None, None, None, 0, 4, 0)]
+    zkind = "grp string, seq long, op string, conn string, keys array<string>, member string, score double, side string, n long, now_ms long, deadline_ms long"
+    zs = drained(stateful.blocking_zsets(streamed(spark, zlog, zkind, tmp_path / "zsets"), timers=False))
+    assert sorted((r["conn"], r["key"], r["member"], r["score"]) for r in zs.collect()) == [("a", "q", "m", 1.0), ("c", "p", "n", 5.0)]
+
+
+def test_consumers_and_patterns(spark):
+    none = spark.createDataFrame([], "key string, grp string, consumer string, seen_ms long")
+    c = entries.xgroup_createconsumer(entries.xgroup_createconsumer(none, "k", "g", "one", 5), "k", "g", "two", 6)
+    c = entries.xgroup_createconsumer(c, "k", "g", "one", 9)
+    pending = spark.createDataFrame([("k", "g", 1, 0, "one", 3, 1)], "key string, grp string, id_ms long, id_seq long, consumer string, delivery_ms long, delivery_count long")
+    assert sorted((r["consumer"], r["pending"], r["idle_ms"]) for r in entries.xinfo_consumers(pending, 10, c).collect()) == [("one", 1, 5), ("two", 0, 4)]
+    left, rest, dropped = entries.xgroup_delconsumer(c, pending, "k", "g", "one")
+    assert [r["consumer"] for r in left.collect()] == ["two"] and rest.count() == 0 and dropped.first()[0] == 1
+    x = spark.createDataFrame([("k", 5, 0)], "key string, id_ms long, id_seq long")
+    with pytest.raises(Exception, match="smaller than the target stream top item"):
+        entries.xsetid(entries.stream_meta(x), x, "k", 4).collect()
+    p = spark.createDataFrame([(1, "a*"), (1, "b*"), (2, "a*")], "conn int, pattern string")
+    assert pubsub.punsubscribe(p, 1, "a*").count() == 2 and pubsub.punsubscribe(p, 1).count() == 1
