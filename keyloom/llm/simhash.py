@@ -239,23 +239,11 @@ def links(points: DataFrame, distance: int = 2, *, shard_points: int = 8192, sam
     return dealt.groupBy("shard").applyInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 2, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, count: int = 1) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; linked if any of `count` fingerprints are within distance.
-
-    The nodes are the values of the first fingerprint. Another one's links lead to the least first fingerprint that has
-    its value, and values of the first that share one of another are linked to that least one.
-    """
-    marked = written(fingerprints(docs, doc_id, text, shingle, count=count), "fingerprints")
+def near_duplicates(docs: DataFrame, distance: int = 2, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of docs; linked if their fingerprints are within distance."""
+    marked = written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    edges = links(points, distance)
-    for k in range(1, count):
-        held = marked.select(F.col(f"fp_{k}").alias("other"), "fp").distinct()
-        least = written(held.groupBy("other").agg(F.min("fp").alias("least"), F.max("fp").alias("most")), "points")
-        found = links(least.select(F.col("other").alias("fp")), distance)
-        to = lambda c: least.select(F.col("other").alias(c), F.col("least").alias(f"{c}_to"))  # noqa: E731, B023
-        edges = edges.unionAll(found.join(to("a"), "a").join(to("b"), "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")))
-        edges = edges.unionAll(held.join(least.filter("least < most"), "other").select(F.col("least").alias("a"), F.col("fp").alias("b")))
-    roots = components(edges)
+    roots = components(links(points, distance))
     named = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least_id = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.join(least_id, "root").select(F.col("fp").alias("point"), "component_id")
