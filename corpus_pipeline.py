@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and returns a DataFrame; all but
 the last return the columns of documents. run() writes each stage's output to the shared folder and reads it again.
+
+Defined results. Null, empty and white texts are never toxic and keep their lines; all texts without words are one group
+of near copies, of which the one with the least id stays. Rows of equal id stay or go together; rows with a null id are
+scored and cleaned, but are no copy of another and lose no line. Ties of near copies go to the least id. Very long texts
+are whole in every stage. Empty tables give empty results. Columns keep their names and order, also where an operator
+uses such a name itself; n_chars is counted anew where a stage changes texts. Null labels and null items are skipped.
 """
 
 from __future__ import annotations
@@ -50,7 +56,7 @@ STAGES = [
     ("benchmark decontamination", decontaminate_benchmark),
     ("best-fit packing", pack_sequences),
 ]
-ORACLE_SQL = None  # a trained network, a greedy tree and a tokenizer are beyond SQL; tests/llm holds brute-force versions
+ORACLE_SQL = None  # a trained network, a greedy tree and a tokenizer are beyond SQL; tests/llm/test_queries.py holds brute-force versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
