@@ -136,10 +136,10 @@ def _centre(s, d):
 def batch(s, d):
     """A batch that names members repeatedly."""
     n = table(s, d, "lineitem")
-    return n.select((F.col("l_suppkey") % 20).alias("key"), (F.col("l_partkey") % 50).alias("member"), F.col("l_quantity").cast("double").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    return n.select((F.col("l_suppkey") % 20).alias("key"), (F.col("l_partkey") % 50).alias("member"), F.col("l_quantity").cast("double").alias("score"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("long")).alias("o"))
 
 
-BATCH = "SELECT l_suppkey % 20 AS key, l_partkey % 50 AS member, l_quantity::DOUBLE AS score, l_orderkey * 10 + l_linenumber AS o FROM lineitem"
+BATCH = "SELECT l_suppkey % 20 AS key, l_partkey % 50 AS member, l_quantity::DOUBLE AS score, (l_orderkey * 10 + l_linenumber) * 1000 + l_quantity::BIGINT AS o FROM lineitem"  # equal orders have equal scores
 for name, options, one in (("zadd_last_wins", {}, "arg_max(score, o)"), ("zadd_first_stays", {"nx": True}, "arg_min(score, o)"), ("zadd_incr_repeats", {"incr": True}, "sum(score)")):
     query(name, "", f"SELECT key, member, {one} AS score FROM ({BATCH}) GROUP BY 1, 2")(lambda s, d, options=options: z.zadd(batch(s, d).select("key", "member", "score").limit(0), batch(s, d), order="o", **options))
 query("zadd_reply_repeats", "", f"SELECT key, count(DISTINCT member) AS reply FROM ({BATCH}) GROUP BY 1")(lambda s, d: z.zadd_reply(batch(s, d).select("key", "member", "score").limit(0), batch(s, d), order="o"))
