@@ -103,14 +103,17 @@ def resp(d: DataFrame, path: str = "$") -> DataFrame:
     return _each(d, path, "string", lambda x: jp.dumps(one(x)))
 
 
-def _write(d: DataFrame, f: Callable[[Any], Any]) -> DataFrame:
-    """Next version with every document rewritten; a function that gives None deletes the key."""
+def _write(d: DataFrame, f: Callable[[Any], Any], *, may_delete: bool = False) -> DataFrame:
+    """Next version with every document rewritten; where a function may give None, that deletes the key. Only then is the
+    result filtered: a filter on it makes the plan rewrite every document twice."""
+    if not may_delete:
+        return d.filter(F.col("doc").isNotNull()).withColumn("doc", _read(F.col("doc"), "string", lambda v: jp.dumps(f(v))))
     doc = _read(F.col("doc"), "string", lambda v: None if (w := f(v)) is None else jp.dumps(w))
     return d.withColumn("doc", doc).filter(F.col("doc").isNotNull())
 
 
 def set_(d: DataFrame, path: str, value: Any, *, nx: bool = False, xx: bool = False) -> DataFrame:
-    return _write(d, lambda v: jp.set_(v, path, value, nx=nx, xx=xx)[0])
+    return _write(d, lambda v: jp.set_(v, path, value, nx=nx, xx=xx)[0], may_delete=True)
 
 
 def set_root(d: DataFrame, new: DataFrame) -> DataFrame:
@@ -143,11 +146,11 @@ def mset(d: DataFrame, triples: list[tuple[Any, str, Any]]) -> DataFrame:
 
 
 def delete(d: DataFrame, path: str = "$") -> DataFrame:
-    return _write(d, lambda v: jp.delete(v, path)[0])
+    return _write(d, lambda v: jp.delete(v, path)[0], may_delete=True)
 
 
 def merge(d: DataFrame, path: str, patch: Any) -> DataFrame:
-    return _write(d, lambda v: jp.rewrite(v, path, lambda x: jp.merge_patch(x, patch))[0])
+    return _write(d, lambda v: jp.rewrite(v, path, lambda x: jp.merge_patch(x, patch))[0], may_delete=True)
 
 
 def toggle(d: DataFrame, path: str) -> DataFrame:
