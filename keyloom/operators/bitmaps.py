@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import index_bounds, lit
+from keyloom.functions.kernels import index_bounds, lit, ranked
 
 
 def setbit(b: DataFrame, key: object, pos: int, bit: int) -> DataFrame:
@@ -38,9 +38,7 @@ def bitpos(b: DataFrame, bit: int = 1, start: int = 0) -> DataFrame:
         return b.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("pos") >= start, F.col("pos"))), F.lit(-1)).alias("pos"))
     # the first gap: positions of a run from start on keep pos - rank constant
     runs = after.select("key", "pos").distinct()
-    from pyspark.sql import Window as W
-
-    r = runs.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("pos")) - 1)
+    r = ranked(runs, [F.asc("pos")])
     full = r.filter(F.col("pos") - F.col("rank") == start).groupBy("key").agg(F.max("pos").alias("last"))
     return b.select("key").distinct().join(full, "key", "left").select("key", F.coalesce(F.col("last") + 1, F.lit(start).cast("long")).alias("pos"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import first_ranked, lit, ranked, upsert, without
+from keyloom.functions.kernels import first_ranked, lit, ranked, running, upsert, without
 
 ID = ["id_ms", "id_seq"]
 PEL = ["key", "grp", *ID]
@@ -38,8 +38,7 @@ def auto_ids(rows: DataFrame, order: str) -> DataFrame:
 def xadd(x: DataFrame, new: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     """(next version, rejected): an entry must exceed every id before it, of the table and of the batch in order."""
     tops = x.groupBy("key").agg(F.max(F.struct(*ID)).alias("__top"))
-    w = W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    before = new.join(tops, "key", "left").withColumn("__seen", F.max(F.struct(*ID)).over(w))
+    before = running(new.join(tops, "key", "left"), [F.asc(order)], F.struct(*ID), F.max, F.greatest, "__seen", last=-1)
     ok = F.struct(*ID) > F.greatest(F.coalesce("__top", F.struct(F.lit(-1).cast("long").alias("id_ms"), F.lit(-1).cast("long").alias("id_seq"))), F.coalesce("__seen", F.struct(F.lit(-1).cast("long").alias("id_ms"), F.lit(-1).cast("long").alias("id_seq"))))
     marked = before.withColumn("__ok", ok)
     accepted = marked.filter("__ok").drop("__ok", "__top", "__seen")
@@ -71,18 +70,18 @@ def xdel(x: DataFrame, gone: DataFrame) -> DataFrame:
 
 def xtrim_maxlen(x: DataFrame, n: int, *, approximate: bool = False, limit: int = 10_000) -> DataFrame:
     """The newest n entries of each key; approximate keeps whole nodes of 100 and drops at most limit entries."""
-    r = ranked(x, [F.asc(c) for c in ID]).withColumn("__n", F.count("*").over(W.partitionBy("key")))
-    drop = F.greatest(F.col("__n") - n, F.lit(0))
+    r = ranked(x, [F.asc(c) for c in ID], length="__length")
+    drop = F.greatest(F.col("__length") - n, F.lit(0))
     if approximate:
         drop = F.floor(F.least(drop, F.lit(limit)) / NODE) * NODE
-    return r.filter(F.col("rank") >= drop).drop("rank", "__n")
+    return r.filter(F.col("rank") >= drop).drop("rank", "__length")
 
 
 def xtrim_minid(x: DataFrame, ms: int, seq: int = 0, *, approximate: bool = False, limit: int = 10_000) -> DataFrame:
     if not approximate:
         return x.filter(at_or_after(ms, seq))
-    r = ranked(x, [F.asc(c) for c in ID])
-    older = r.withColumn("__old", F.sum((~at_or_after(ms, seq)).cast("int")).over(W.partitionBy("key")))
+    old = x.groupBy("key").agg(F.count_if(~at_or_after(ms, seq)).alias("__old"))
+    older = ranked(x, [F.asc(c) for c in ID]).join(old, "key")
     return older.filter(F.col("rank") >= F.floor(F.least(F.col("__old"), F.lit(limit)) / NODE) * NODE).drop("rank", "__old")
 
 

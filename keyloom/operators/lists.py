@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, sized
+from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, without
+
+AT = ["key", "pos"]
 
 
 def indexed(x: DataFrame, tail: bool = False) -> DataFrame:
     """With `rank` from the head (or the tail) and the key's `length`."""
-    return sized(ranked(x, [F.desc("pos") if tail else F.asc("pos")]))
+    return ranked(x, [F.desc("pos") if tail else F.asc("pos")], length="length")
 
 
 def push(x: DataFrame, new: DataFrame, order: str, *, head: bool = False, only_existing: bool = False) -> DataFrame:
@@ -30,7 +31,8 @@ def pop(x: DataFrame, n: int = 1, *, tail: bool = False) -> tuple[DataFrame, Dat
     if n < 0:
         raise ValueError("value is out of range, must be positive")
     order = [F.desc("pos") if tail else F.asc("pos")]
-    return first_ranked(x, order, n), ranked(x, order).filter(F.col("rank") >= n).drop("rank")
+    popped = first_ranked(x, order, n)
+    return popped, without(x, popped, AT)
 
 
 def llen(x: DataFrame) -> DataFrame:
@@ -55,8 +57,9 @@ def lindex(x: DataFrame, i: int) -> DataFrame:
 
 
 def lset(x: DataFrame, i: int, value: object) -> DataFrame:
-    r = ranked(x, [F.asc("pos") if i >= 0 else F.desc("pos")])
-    return r.withColumn("value", F.when(F.col("rank") == (i if i >= 0 else -i - 1), lit(value)).otherwise(F.col("value"))).drop("rank")
+    at = i if i >= 0 else -i - 1
+    hit = first_ranked(x, [F.asc("pos") if i >= 0 else F.desc("pos")], at + 1).filter(F.col("rank") == at).select(*AT, F.lit(True).alias("__hit"))
+    return x.join(hit, AT, "left").withColumn("value", F.when(F.col("__hit"), lit(value)).otherwise(F.col("value"))).drop("__hit").select(*x.columns)
 
 
 def lset_replies(x: DataFrame, i: int) -> DataFrame:
@@ -70,9 +73,8 @@ def lrem(x: DataFrame, count: int, value: object) -> DataFrame:
     same = F.col("value").eqNullSafe(lit(value))
     if count == 0:
         return x.filter(~same)
-    w = W.partitionBy("key", "__same").orderBy(F.asc("pos") if count > 0 else F.desc("pos"))
-    r = x.withColumn("__same", same).withColumn("__nth", F.row_number().over(w))
-    return r.filter(~(F.col("__same") & (F.col("__nth") <= abs(count)))).drop("__same", "__nth")
+    gone = first_ranked(x.filter(same), [F.asc("pos") if count > 0 else F.desc("pos")], abs(count))
+    return without(x, gone, AT)
 
 
 def lpos(x: DataFrame, value: object, rank: int = 1, count: int | None = None, maxlen: int = 0) -> DataFrame:
@@ -84,24 +86,23 @@ def lpos(x: DataFrame, value: object, rank: int = 1, count: int | None = None, m
     if maxlen:
         r = r.filter(back < maxlen)
     hit = r.filter(F.col("value") == lit(value))
-    nth = F.row_number().over(W.partitionBy("key").orderBy(F.desc("rank") if rank < 0 else F.asc("rank")))
-    hit = hit.withColumn("nth", nth).filter(F.col("nth") >= abs(rank))
+    order = [F.desc("rank") if rank < 0 else F.asc("rank")]
     n = 1 if count is None else count
-    if n:
-        hit = hit.filter(F.col("nth") < abs(rank) + n)
-    return hit.select("key", F.col("rank").alias("index"), "nth")
+    hit = first_ranked(hit, order, abs(rank) + n - 1, name="nth") if n else ranked(hit, order, name="nth")
+    return hit.select("key", F.col("rank").alias("index"), (F.col("nth") + 1).alias("nth")).filter(F.col("nth") >= abs(rank))
 
 
 def linsert(x: DataFrame, pivot: object, value: object, *, before: bool = True) -> DataFrame:
     """Next version with value beside the first pivot of each key: its pos lies midway to the neighbour. Where no number is
     left between the two, the key's elements are numbered anew."""
-    w = W.partitionBy("key").orderBy("pos")
     p = F.col("pos").cast("double")
-    near = x.withColumn("__near", F.lag(p).over(w) if before else F.lead(p).over(w)).filter(F.col("value") == lit(pivot))
-    first = near.groupBy("key").agg(F.min_by(F.struct(p.alias("pos"), "__near"), "pos").alias("r"))
-    at = F.coalesce((F.col("r.pos") + F.col("r.__near")) / 2, F.col("r.pos") + (-1 if before else 1))
-    at = F.when((at == F.col("r.pos")) | at.eqNullSafe(F.col("r.__near")), None).otherwise(at)
-    new = first.select("key", at.alias("pos"), lit(value).alias("value"), F.col("r.pos").alias("pivot"))
+    first = x.filter(F.col("value") == lit(pivot)).groupBy("key").agg(F.min(p).alias("pivot"))
+    beside = x.join(first, "key").filter(p < F.col("pivot") if before else p > F.col("pivot"))
+    near = beside.groupBy("key").agg((F.max(p) if before else F.min(p)).alias("near"))
+    first = first.join(near, "key", "left")
+    at = F.coalesce((F.col("pivot") + F.col("near")) / 2, F.col("pivot") + (-1 if before else 1))
+    at = F.when((at == F.col("pivot")) | at.eqNullSafe(F.col("near")), None).otherwise(at)
+    new = first.select("key", at.alias("pos"), lit(value).alias("value"), "pivot")
     full = new.filter("pos IS NULL").select("key", "pivot")
     tight = x.select("key", p.alias("pos"), "value").join(full.select("key"), "key", "left_semi").withColumn("side", F.lit(0))
     tight = tight.unionByName(full.select("key", F.col("pivot").alias("pos"), lit(value).alias("value"), F.lit(-1 if before else 1).alias("side")))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import first_ranked, lit, live, ranked, upsert, without
+from keyloom.functions.kernels import first_ranked, lit, live, upsert, without
 
 KM = ["key", "member"]
 
@@ -53,7 +53,8 @@ def scard(s: DataFrame, now_ms: int | None = None) -> DataFrame:
 def spop(s: DataFrame, n: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(popped, rest): n pseudo-random members of each key."""
     order = [F.xxhash64(F.lit(seed), "member"), F.col("member")]
-    return first_ranked(s, order, n).drop("rank"), ranked(s, order).filter(F.col("rank") >= n).drop("rank")
+    popped = first_ranked(s, order, n).drop("rank")
+    return popped, without(s, popped, KM)
 
 
 def srandmember(s: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -13,10 +13,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import first_ranked
+from keyloom.functions.kernels import first_ranked, ranked
 
 # ---- HyperLogLog ----------------------------------------------------------------------------------------------------
 
@@ -152,15 +151,14 @@ def bloom_grow(items: DataFrame, order: str, capacity: int = 100, error: float =
     """(key, item, order) -> set bits (key, layer, word, mask) of a filter that grows: a key's items, in the order in which
     they first come, fill one layer after the other."""
     first = items.groupBy("key", F.col("item").cast("string").alias("item")).agg(F.min(order).alias("o"))
-    rank = F.row_number().over(W.partitionBy("key").orderBy("o", "item"))
     full, layer = 0, F.lit(most - 1)
     ends = []
     for k in range(most):
         full += bloom_layers(capacity, error, growth, k)[0]
         ends.append(full)
     for k in range(most - 2, -1, -1):
-        layer = F.when(F.col("rank") <= ends[k], k).otherwise(layer)
-    placed = first.withColumn("rank", rank).withColumn("layer", layer)
+        layer = F.when(F.col("rank") < ends[k], k).otherwise(layer)
+    placed = ranked(first, [F.asc("o"), F.asc("item")]).withColumn("layer", layer)
     at = _layer_bits(placed.select("key", "layer", "item"), capacity, error, growth, most)
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(32)).cast("int"))
     return at.groupBy("key", "layer", F.shiftright("at", 5).alias("word")).agg(F.bit_or(mask).alias("mask"))

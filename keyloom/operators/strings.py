@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import MAX_TTL_MS, format_double, index_bounds, last_by, lit, live, parse_double, parse_long, upsert, without
+from keyloom.functions.kernels import MAX_TTL_MS, format_double, index_bounds, last_by, lit, live, parse_double, parse_long, running, upsert, without
 
 
 def set_(s: DataFrame, new: DataFrame, *, now_ms: int = 0, nx: bool = False, xx: bool = False, keep_ttl: bool = False, ttl_ms: int | None = None, at_ms: int | None = None, order: str | None = None) -> DataFrame:
@@ -123,8 +122,7 @@ def incrby(s: DataFrame, log: DataFrame) -> DataFrame:
 
 def incr_replies(log: DataFrame, order: str) -> DataFrame:
     """The counter after each increment of the log (counters start at 0): a running sum per key."""
-    w = W.partitionBy("key").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return log.withColumn("reply", F.sum("by").over(w))
+    return running(log, [F.asc(order)], F.col("by"), F.sum, lambda a, b: F.coalesce(a + b, a, b), "reply")
 
 
 def incrbyfloat(s: DataFrame, log: DataFrame, order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, sized, upsert, without
+from keyloom.functions.kernels import first_ranked, index_bounds, lit, ranked, upsert, without
 
 
 def _order(reverse: bool = False) -> list[Column]:
@@ -91,7 +91,7 @@ def zrange(z: DataFrame, start: int, stop: int, reverse: bool = False) -> DataFr
     """Members of rank start to stop, negative ranks from the end."""
     if 0 <= start <= stop:
         return first_ranked(z, _order(reverse), stop + 1).filter(F.col("rank") >= start)
-    r = sized(ranked(z, _order(reverse)))
+    r = ranked(z, _order(reverse), length="length")
     first, last = index_bounds(start, stop, F.col("length"))
     return r.filter((F.col("rank") >= first) & (F.col("rank") <= last)).drop("length")
 
@@ -139,15 +139,15 @@ def zremrange(z: DataFrame, where: Column) -> DataFrame:
 
 
 def zremrangebyrank(z: DataFrame, start: int, stop: int) -> DataFrame:
-    r = sized(ranked(z, _order()))
+    r = ranked(z, _order(), length="length")
     first, last = index_bounds(start, stop, F.col("length"))
     return r.filter((F.col("rank") < first) | (F.col("rank") > last)).drop("rank", "length")
 
 
 def zpop(z: DataFrame, n: int = 1, highest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped, rest)."""
-    rest = ranked(z, _order(highest)).filter(F.col("rank") >= n).drop("rank")
-    return first_ranked(z, _order(highest), n), rest
+    popped = first_ranked(z, _order(highest), n)
+    return popped, without(z, popped, ["key", "member"])
 
 
 def zmpop(z: DataFrame, keys: Sequence[object], n: int = 1, highest: bool = False) -> DataFrame:

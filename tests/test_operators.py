@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom import registry
 from keyloom.functions import jsonpath as jp
+from keyloom.functions import kernels
 from keyloom.functions.kernels import format_double, glob, index_bounds, parse_double, parse_long
 from keyloom.operators import bitmaps, control, entries, geo, hashes, json_docs, keys, lists, pubsub, sets, sketches, strings, zsets
 from keyloom.session import Session, TransactionError
@@ -300,3 +302,67 @@ def test_consumers_and_patterns(spark):
         entries.xsetid(entries.stream_meta(x), x, "k", 4).collect()
     p = spark.createDataFrame([(1, "a*"), (1, "b*"), (2, "a*")], "conn int, pattern string")
     assert pubsub.punsubscribe(p, 1, "a*").count() == 2 and pubsub.punsubscribe(p, 1).count() == 1
+
+
+@pytest.mark.parametrize("large", [10**6, 40])
+def test_ranks_of_large_keys(spark, monkeypatch, large):
+    """One key with most of the rows, one in the middle, many small ones and a null key: ranks, sizes, running values, and
+    the operators that stand on them are those of plain Python, whether keys are cut into ranges or not."""
+    monkeypatch.setattr(kernels, "LARGE_KEY", large)
+    rng = random.Random(5)
+    data = [(k, rng.randrange(300) / 2, f"m{i}") for i, k in enumerate(["hot"] * 900 + ["mid"] * 60 + [None] * 70 + [f"k{i % 50}" for i in range(200)])]
+    rng.shuffle(data)
+    z = spark.createDataFrame(data, "key string, score double, member string").repartition(7)
+    for down in (False, True):
+        want = {}
+        for key, score, member in sorted(data, key=lambda r: r[1:], reverse=down):
+            want.setdefault(key, []).append((score, member))
+        got = kernels.ranked(z, zsets._order(down), length="n")
+        assert dict(got.dtypes)["rank"] == "bigint"
+        assert {(r.key, r.rank, r.score, r.member, r.n) for r in got.collect()} == {(k, i, *x, len(v)) for k, v in want.items() for i, x in enumerate(v)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("__range" in plan) == (large == 40)
+
+    log = spark.createDataFrame([(k, i, rng.randrange(-9, 10)) for i, (k, *_) in enumerate(data)], "key string, o long, by long")
+    total, want = {}, set()
+    for r in sorted(log.collect(), key=lambda r: r.o):
+        total[r.key] = total.get(r.key, 0) + r.by
+        want.add((r.o, total[r.key]))
+    assert {(r.o, r.reply) for r in strings.incr_replies(log, "o").collect()} == want
+
+    ids = spark.createDataFrame([(k, i, rng.randrange(4000), 0) for i, (k, *_) in enumerate(data)], "key string, o long, id_ms long, id_seq long")
+    top, want = {}, set()
+    for r in sorted(ids.collect(), key=lambda r: r.o):
+        if r.id_ms > top.get(r.key, -1):
+            want.add((r.key, r.id_ms))
+        top[r.key] = max(top.get(r.key, -1), r.id_ms)
+    empty = spark.createDataFrame([], "key string, id_ms long, id_seq long")
+    assert {(r.key, r.id_ms) for r in entries.xadd(empty, ids, "o")[0].collect()} == want
+
+    x = spark.createDataFrame([(k, float(i), "ab"[i % 2]) for i, (k, *_) in enumerate(data) if k], "key string, pos double, value string")
+    held = {}
+    for r in sorted(x.collect(), key=lambda r: r.pos):
+        held.setdefault(r.key, []).append(r.value)
+
+    def as_lists(df):
+        out = {}
+        for r in sorted(df.collect(), key=lambda r: r.pos):
+            out.setdefault(r.key, []).append(r.value)
+        return out
+
+    assert as_lists(lists.ltrim(x, -5, -2)) == {k: v[-5:-1] for k, v in held.items() if v[-5:-1]}
+    assert as_lists(lists.pop(x, 3, tail=True)[1]) == {k: v[:-3] for k, v in held.items() if v[:-3]}
+    assert as_lists(lists.lset(x, -2, "c")) == {k: v[:-2] + ["c"] + v[-1:] if len(v) > 1 else v for k, v in held.items()}
+    where = {k: [i for i in reversed(range(len(v))) if v[i] == "a"] for k, v in held.items()}
+    for n in (2, 0):
+        got = lists.lpos(x, "a", rank=-2, count=n).collect()
+        assert sorted((r.key, r["index"]) for r in got) == sorted((k, i) for k, at in where.items() for i in at[1 : 1 + n if n else None])
+
+    def removed(v):
+        at = [i for i, e in enumerate(v) if e == "a"][-2:]
+        return [e for i, e in enumerate(v) if i not in at]
+
+    assert as_lists(lists.lrem(x, -2, "a")) == {k: removed(v) for k, v in held.items() if removed(v)}
+    for before in (True, False):
+        inserted = {k: v[: v.index("a") + (not before)] + ["new"] + v[v.index("a") + (not before) :] if "a" in v else v for k, v in held.items()}
+        assert as_lists(lists.linsert(x, "a", "new", before=before)) == inserted
