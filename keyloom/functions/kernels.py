@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -124,55 +125,68 @@ def last_by(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(*keys, "__r.*")
 
 
-def _large_keys(df: DataFrame, order: Sequence[Column], key: str) -> tuple[DataFrame, DataFrame | None]:
+def _names(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _same(keys: list[str]) -> Column:
+    """Join condition: equal keys (nulls are equal) of rows and of a table that names them __key0, __key1, ..."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(keys)])
+
+
+def _large_keys(df: DataFrame, order: Sequence[Column], keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(rows of other keys, rows of keys of over LARGE_KEY rows). The latter are range-partitioned by key and order, with
     the key's number of rows as __n and the number of the range as __range, and written, so that the ranges stay as they are."""
-    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE_KEY)
+    held = [F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)]
+    counts = df.groupBy(*held).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE_KEY)
     if counts.isEmpty():
         return df, None
     counts = written(counts, "large-keys")
-    marked = df.join(counts, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
-    ranges = marked.filter(F.col("__n").isNotNull()).repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id())
+    marked = df.join(counts, _same(keys), "left").drop(*[f"__key{i}" for i in range(len(keys))])
+    ranges = marked.filter(F.col("__n").isNotNull()).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
     return marked.filter(F.col("__n").isNull()).drop("__n"), written(ranges, "ranges")
 
 
-def _with_earlier(rows: DataFrame, large: DataFrame, value: Column, how: Callable[[Column], Column], key: str) -> DataFrame:
+def _with_earlier(rows: DataFrame, large: DataFrame, value: Column, how: Callable[[Column], Column], keys: list[str]) -> DataFrame:
     """rows of large keys with `__earlier`: value, an aggregate of each range, put together by `how` over the key's ranges before."""
-    w = W.partitionBy("__k").orderBy("__m").rowsBetween(W.unboundedPreceding, -1)
-    totals = large.groupBy(F.col(key).alias("__k"), F.col("__range").alias("__m")).agg(value.alias("__v"))
-    earlier = totals.select("__k", "__m", how(F.col("__v")).over(w).alias("__earlier"))
-    return rows.join(earlier, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__m")), "left")
+    held = [f"__key{i}" for i in range(len(keys))]
+    w = W.partitionBy(*held).orderBy("__m").rowsBetween(W.unboundedPreceding, -1)
+    totals = large.groupBy(*[F.col(c).alias(h) for c, h in zip(keys, held, strict=True)], F.col("__range").alias("__m")).agg(value.alias("__v"))
+    earlier = totals.select(*held, "__m", how(F.col("__v")).over(w).alias("__earlier"))
+    return rows.join(earlier, _same(keys) & (F.col("__range") == F.col("__m")), "left")
 
 
-def ranked(df: DataFrame, order: Sequence[Column], key: str = "key", name: str = "rank", length: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, order: Sequence[Column], key: str | Sequence[str] = "key", name: str = "rank", length: str | None = None) -> DataFrame:
     """Rows with their rank in the key, from 0, and the key's number of rows in column `length` if one is named.
 
     A key of up to LARGE_KEY rows is a window. A larger one is cut into ranges of its order: a rank is that in the range,
     plus the rows of the ranges before, so no task takes more of a key than a range.
     """
     rank = lambda *by: (F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1).cast("long")
-    rest, large = _large_keys(df, order, key)
-    out = rest.withColumn(name, rank(key))
+    keys = _names(key)
+    rest, large = _large_keys(df, order, keys)
+    out = rest.withColumn(name, rank(*keys))
     if length is not None:
-        out = out.withColumn(length, F.count(F.lit(1)).over(W.partitionBy(key)))
+        out = out.withColumn(length, F.count(F.lit(1)).over(W.partitionBy(*keys)))
     if large is None:
         return out
-    split = _with_earlier(large.withColumn("__rank", rank(key, "__range")), large, F.count(F.lit(1)), F.sum, key)
+    split = _with_earlier(large.withColumn("__rank", rank(*keys, "__range")), large, F.count(F.lit(1)), F.sum, keys)
     number = F.col("__rank") + F.coalesce("__earlier", F.lit(0))
     size = [] if length is None else [F.col("__n").alias(length)]
     kept = [c for c in df.columns if c not in (name, length)]
     return out.select(*kept, name, *([] if length is None else [length])).unionByName(split.select(*kept, number.alias(name), *size))
 
 
-def running(df: DataFrame, order: Sequence[Column], value: Column, how: Callable[[Column], Column], both: Callable[[Column, Column], Column], name: str, *, last: int = 0, key: str = "key") -> DataFrame:
+def running(df: DataFrame, order: Sequence[Column], value: Column, how: Callable[[Column], Column], both: Callable[[Column, Column], Column], name: str, *, last: int = 0, key: str | Sequence[str] = "key") -> DataFrame:
     """Rows with how(value) over the key's rows up to each (last=0) or before it (last=-1); both(a, b) puts the values of two
     stretches together and passes over nulls. Large keys are cut into ranges as in `ranked`."""
     frame = lambda *by: how(value).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, last))
-    rest, large = _large_keys(df, order, key)
-    out = rest.withColumn(name, frame(key))
+    keys = _names(key)
+    rest, large = _large_keys(df, order, keys)
+    out = rest.withColumn(name, frame(*keys))
     if large is None:
         return out
-    split = _with_earlier(large.withColumn("__own", frame(key, "__range")), large, how(value), how, key)
+    split = _with_earlier(large.withColumn("__own", frame(*keys, "__range")), large, how(value), how, keys)
     return out.unionByName(split.select(*df.columns, both(F.col("__earlier"), F.col("__own")).alias(name)))
 
 

@@ -73,8 +73,8 @@ def lrem(x: DataFrame, count: int, value: object) -> DataFrame:
     same = F.col("value").eqNullSafe(lit(value))
     if count == 0:
         return x.filter(~same)
-    gone = first_ranked(x.filter(same), [F.asc("pos") if count > 0 else F.desc("pos")], abs(count))
-    return without(x, gone, AT)
+    r = ranked(x.withColumn("__same", same), [F.asc("pos") if count > 0 else F.desc("pos")], ["key", "__same"], "__nth")
+    return r.filter(~(F.col("__same") & (F.col("__nth") < abs(count)))).drop("__same", "__nth")
 
 
 def lpos(x: DataFrame, value: object, rank: int = 1, count: int | None = None, maxlen: int = 0) -> DataFrame:
