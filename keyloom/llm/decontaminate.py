@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from keyloom.llm._shared import small_batches, written
+from keyloom.llm._shared import small_batches, spare_name, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ADDED = "n_words long, n_hit long, hit_ranges array<int>, hit_items array<string>"
@@ -170,18 +170,17 @@ def _mark(docs: DataFrame, automaton: object, text: str) -> DataFrame:
     names = [x.split()[0] for x in ADDED.split(", ")]
     plain = [c for c in docs.columns if c not in names]
     later = all(c in docs.columns for c in names)
-    kept = docs.select(*plain, *([F.col(c).alias(f"__{c}") for c in names] if later else [F.lit(None).alias("__none")]))
+    read = docs.select(*plain, F.col(text).cast("binary").alias(spare_name(docs, "body")), *(names[2:] if later else []))
     schema = StructType([*docs.select(*plain).schema.fields, *StructType.fromDDL(ADDED).fields])
     types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
-    body = F.col(text).cast("binary").alias("__body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam: SuffixAutomaton = automaton.value
         number = sam.number.get
         for batch in batches:
             rows = []
-            old = zip(batch.column("__hit_ranges").to_pylist(), batch.column("__hit_items").to_pylist(), strict=True) if later else None
-            for one in batch.column("__body"):
+            old = zip(batch.column(len(plain) + 1).to_pylist(), batch.column(len(plain) + 2).to_pylist(), strict=True) if later else None
+            for one in batch.column(len(plain)):
                 ws = words_of(one.as_py())
                 ids = np.fromiter((number(w, -1) for w in ws), np.int64, len(ws))
                 ranges, found = sam.hits(ids)
@@ -193,12 +192,13 @@ def _mark(docs: DataFrame, automaton: object, text: str) -> DataFrame:
                 new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(plain))), *new], names=[*plain, *names])
 
-    return kept.withColumn("__body", body).mapInArrow(run, schema)
+    return read.mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, max_words: int = 2_000_000) -> DataFrame:
     """docs with n_words, n_hit, hit_ranges (word positions, flattened start and end) and hit_items (sorted strings)."""
     spark = docs.sparkSession
+    docs = docs.drop(*[x.split()[0] for x in ADDED.split(", ")])
     items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).cast("binary").alias("body"))
     size = items.agg(F.coalesce(F.sum(F.length("body")), F.lit(0)).alias("n")).first()["n"]
     parts = size // (2 * max_words) + 1  # a word and its separator take two bytes at least
@@ -235,9 +235,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", max_cove
     """docs (their own columns) with every hit span cut out; documents hit in over max_coverage of their words go."""
     columns = docs.columns
     added = [x.split()[0] for x in ADDED.split(", ")]
-    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in columns if c in added})
+    own_name = {c: spare_name(docs, f"own_{c}") for c in columns if c.lower() in added}
+    own = docs.withColumnsRenamed(own_name)
     marked = contamination(own, benchmark, text=text, **options)
     kept = marked.filter(F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage))
     cut = F.udf(without_spans, "string", useArrow=True)
     body = F.when(F.col("n_hit") > 0, cut(F.col(text), F.col("hit_ranges"))).otherwise(F.col(text))
-    return kept.withColumn(text, body).select(*[F.col(f"__own_{c}").alias(c) if c in added else F.col(c) for c in columns])
+    return kept.withColumn(text, body).select(*[F.col(own_name.get(c, c)).alias(c) for c in columns])

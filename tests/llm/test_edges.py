@@ -100,6 +100,21 @@ def test_decontaminate(docs, none, spark):
     assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontaminate_replaces_columns_of_its_names(docs, spark):
+    """Input columns that look like an earlier pass, or like the operator's own working columns, change nothing."""
+    bench = spark.createDataFrame([(1, "alpha BETA gamma"), (2, "epsilon")], "item_id long, text string")
+    own = {"n_words": F.lit(-1).cast("long"), "n_hit": F.lit(-2).cast("long"), "hit_ranges": F.array(F.lit(0), F.lit(5)), "hit_items": F.array(F.lit("x")), "__body": F.lit("b"), "__own_n_hit": F.lit(3)}
+    clashing = docs.withColumns(own)
+    for words in (20, 2):
+        want = decontaminate.digest(decontaminate.contamination(docs, bench, max_words=words))
+        got = decontaminate.contamination(clashing, bench, max_words=words)
+        assert sorted(map(str, decontaminate.digest(got).collect())) == sorted(map(str, want.collect()))
+        assert {(r["__body"], r["__own_n_hit"]) for r in got.collect()} == {("b", 3)}
+    cleaned = decontaminate.clean(clashing, bench)
+    assert cleaned.columns == clashing.columns
+    assert {tuple(r[c] for c in own) for r in map(lambda r: {**r.asDict(), "hit_ranges": tuple(r["hit_ranges"]), "hit_items": tuple(r["hit_items"])}, cleaned.collect())} == {(-1, -2, (0, 5), ("x",), "b", 3)}
+
+
 def test_line_templates(spark, none):
     long = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
     texts = [f"only {i}\nPage {i} of 90 today\n\nall the rights are reserved here now\n{long}\nunique line of text {'abcdefgh'[i]}" for i in range(5)]
