@@ -137,6 +137,8 @@ def _same(keys: list[str]) -> Column:
 def _large_keys(df: DataFrame, order: Sequence[Column], keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(rows of other keys, rows of keys of over LARGE_KEY rows). The latter are range-partitioned by key and order, with
     the key's number of rows as __n and the number of the range as __range, and written, so that the ranges stay as they are."""
+    if df.count() <= LARGE_KEY:  # no key can have more, and a count alone reads hardly any column
+        return df, None
     held = [F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)]
     counts = df.groupBy(*held).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > LARGE_KEY)
     if counts.isEmpty():
