@@ -68,21 +68,21 @@ def xdel(x: DataFrame, gone: DataFrame) -> DataFrame:
     return base.join(hit, ["key", *ID], "left").withColumn("deleted", F.coalesce("__hit", "deleted")).drop("__hit")
 
 
-def xtrim_maxlen(x: DataFrame, n: int, *, approximate: bool = False, limit: int = 10_000) -> DataFrame:
-    """The newest n entries of each key; approximate keeps whole nodes of 100 and drops at most limit entries."""
+def xtrim_maxlen(x: DataFrame, n: int, *, approximate: bool = False, limit: int = 0) -> DataFrame:
+    """The newest n entries of each key; approximate keeps whole nodes of 100 and drops at most limit entries (0: any number)."""
     r = ranked(x, [F.asc(c) for c in ID], length="__length")
     drop = F.greatest(F.col("__length") - n, F.lit(0))
     if approximate:
-        drop = F.floor(F.least(drop, F.lit(limit)) / NODE) * NODE
+        drop = F.floor((F.least(drop, F.lit(limit)) if limit else drop) / NODE) * NODE
     return r.filter(F.col("rank") >= drop).drop("rank", "__length")
 
 
-def xtrim_minid(x: DataFrame, ms: int, seq: int = 0, *, approximate: bool = False, limit: int = 10_000) -> DataFrame:
+def xtrim_minid(x: DataFrame, ms: int, seq: int = 0, *, approximate: bool = False, limit: int = 0) -> DataFrame:
     if not approximate:
         return x.filter(at_or_after(ms, seq))
     old = x.groupBy("key").agg(F.count_if(~at_or_after(ms, seq)).alias("__old"))
     older = ranked(x, [F.asc(c) for c in ID]).join(old, "key")
-    return older.filter(F.col("rank") >= F.floor(F.least(F.col("__old"), F.lit(limit)) / NODE) * NODE).drop("rank", "__old")
+    return older.filter(F.col("rank") >= F.floor((F.least(F.col("__old"), F.lit(limit)) if limit else F.col("__old")) / NODE) * NODE).drop("rank", "__old")
 
 
 def xread(x: DataFrame, last: DataFrame, count: int | None = None) -> DataFrame:
