@@ -9,10 +9,10 @@ from `long_docs` documents on. Lines of every length go through the tree.
 
 Lines are first reduced to keys (128 bits of the masked line) with their documents; a task hands on a line's text with
 the key's first row only. Texts are dealt to leaves by a hash of the leaf, sorted and streamed, so a task holds the
-templates of one leaf; a leaf of one line, as most of long lines are, is not even split into tokens. A crowded leaf (of
-over `crowd` lines) is dealt to sub-leaves by a hash of the line; each makes its templates, and the templates are dealt
-anew and joined by the same rule, in rounds, until they fit one sub-leaf or a round joins fewer than one in a hundred:
-such a leaf holds lines of different shapes. Decisions return to the documents as the keys each one loses.
+templates of one leaf and no lines; a leaf of one line, as most of long lines are, is not even split into tokens. In a
+crowded leaf (of over `crowd` templates) a line is compared with the templates that an index of blocks of positions
+gives, which are all that can take it: results do not depend on `crowd` or on the size of a leaf. Decisions return to
+the documents as the keys each one loses.
 
 White space is that of Unicode. Defined results. Null text stays null, empty text empty; blank lines (of white space
 only) are never dropped. Ties between templates go to the older one; the order of lines in a leaf is that of their
@@ -23,6 +23,9 @@ document. Very long texts are whole. Empty tables give empty results. Extra colu
 
 from __future__ import annotations
 
+import math
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,8 @@ WILD = "<*>"
 LEADING = 3
 SEEN_KEYS = 100_000  # keys that a task remembers as handed on with their text; it forgets them all beyond that
 FEW = 16  # templates of a leaf that are compared one by one
-CROWD = 20_000  # lines of a leaf that one task takes
+CROWD = 1_000  # templates of a leaf that are all compared with a line
+RECENT = 50_000  # numbers in a dictionary
 
 OTHER_SPACE = r"\t\n\v\f\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 FIELD = f"[^ {OTHER_SPACE}]*[0-9][^ {OTHER_SPACE}]*"
@@ -111,87 +115,174 @@ def keyed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 # ---- templates of a leaf --------------------------------------------------------------------------------------------
 
 
+class Postings:
+    """Numbers by hash: the newest in a dictionary, all others in sorted arrays of growing length, 12 bytes each."""
+
+    def __init__(self) -> None:
+        self.new: dict[int, array] = {}
+        self.size = 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, key: int, number: int) -> None:
+        self.new.setdefault(key, array("i")).append(number)
+        self.size += 1
+        if self.size >= RECENT:
+            keys = np.repeat(np.fromiter(self.new, np.int64), [len(v) for v in self.new.values()])
+            numbers = np.concatenate([np.frombuffer(v, np.int32) for v in self.new.values()])
+            while self.runs and len(self.runs[-1][0]) < 2 * len(keys):
+                more = self.runs.pop()
+                keys, numbers = np.concatenate([more[0], keys]), np.concatenate([more[1], numbers])
+            order = keys.argsort(kind="stable")
+            self.runs.append((keys[order], numbers[order]))
+            self.new, self.size = {}, 0
+
+    def of(self, keys: list[int]) -> np.ndarray:
+        """All numbers of the keys, repeats included."""
+        found = [np.frombuffer(v, np.int32) for v in map(self.new.get, keys) if v]
+        if self.runs:
+            asked = np.array(keys, np.int64)
+            for held, numbers in self.runs:
+                low, high = held.searchsorted(asked), held.searchsorted(asked, "right")
+                found += [numbers[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b]
+        return np.concatenate(found) if found else np.empty(0, np.int32)
+
+
 class LeafTemplates:
-    """The templates of one leaf with the keys that joined them; many templates are compared as rows of one array."""
+    """The templates of one leaf. Many are compared as rows of one array, over `crowd` only those that share a block.
 
-    def __init__(self, similarity: float) -> None:
-        self.similarity = similarity
+    A line that agrees with a template in all but d positions agrees with it in the whole of at least one of d + 1 blocks of
+    positions. Templates are found by each block's tokens and the places of its wildcards, so none that takes the line is
+    missed, and the way of comparing does not change what is found."""
+
+    def __init__(self, similarity: float, crowd: int = CROWD) -> None:
+        self.similarity, self.crowd = similarity, crowd
         self.templates: list[list[str]] = []
         self.members: list[list[tuple[int, int]]] = []
         self.codes: dict[str, int] = {WILD: 0}
         self.grid: np.ndarray | None = None
+        self.blocks: list[list[int]] = []
+        self.shapes: list[set[tuple[int, ...]]] = []  # by block: the sets of positions without wildcard that occur
+        self.postings = Postings()
 
     def _coded(self, tokens: list[str]) -> list[int]:
         return [self.codes.setdefault(t, len(self.codes)) for t in tokens]
 
+    def _post(self, k: int, blocks: set[int]) -> None:
+        codes = self.grid[k].tolist()
+        for j in blocks:
+            fixed = tuple(i for i in self.blocks[j] if codes[i])
+            self.shapes[j].add(fixed)
+            self.postings.add(hash((j, fixed, *[codes[i] for i in fixed])), k)
+
+    def _candidates(self, codes: list[int]) -> np.ndarray:
+        """Numbers of all templates that can take the line, and of others. Each block has its share of the positions that vary."""
+        if not self.blocks:
+            n = len(codes)
+            spare = n - math.ceil(self.similarity * n - 1e-9)
+            varied = sorted(range(n), key=lambda i: len(np.unique(self.grid[: len(self.templates), i])))
+            self.blocks = [varied[j :: spare + 1] for j in range(spare + 1)]
+            self.shapes = [set() for _ in self.blocks]
+            for k in range(len(self.templates)):
+                self._post(k, set(range(spare + 1)))
+        return self.postings.of([hash((j, fixed, *[codes[i] for i in fixed])) for j, shapes in enumerate(self.shapes) for fixed in shapes])
+
     def _best(self, tokens: list[str]) -> tuple[int, int]:
-        """(positions that agree, number) of the most similar template, the older one of equals."""
+        """(positions that agree, number) of the most similar template, the older one of equals; (-1, -1) if none can take
+        the line."""
         if len(self.templates) <= FEW:
             agree = [sum(a == b or a == WILD for a, b in zip(t, tokens, strict=True)) for t in self.templates]
             best = max(agree)
             return best, agree.index(best)
         if self.grid is None:
             self.grid = np.array([self._coded(t) for t in self.templates] * 2, np.int32)
-        used = self.grid[: len(self.templates)]
-        agree = ((used == np.array(self._coded(tokens), np.int32)) | (used == 0)).sum(axis=1)
-        return int(agree.max()), int(agree.argmax())
-
-    def put(self, key: tuple[int, int], line: str) -> int:
+        codes = [self.codes.get(t, -1) for t in tokens]
+        if len(self.templates) <= self.crowd:
+            numbers, used = None, self.grid[: len(self.templates)]
+        else:
+            numbers = self._candidates(codes)
+            if not len(numbers):
+                return -1, -1
+            used = self.grid[numbers]
+        agree = ((used == np.array(codes, np.int32)) | (used == 0)).sum(axis=1)
+        best = int(agree.max())
+        return best, int(agree.argmax() if numbers is None else numbers[agree == best].min())
+
+    def place(self, line: str) -> int:
         """Number of the template that takes the line."""
-        tokens = line.split(" ")
+        tokens = [sys.intern(t) for t in line.split(" ")]
         if self.templates:
             agree, k = self._best(tokens)
-            if agree >= self.similarity * len(tokens) - 1e-9:
-                template = self.templates[k]
+            if agree >= self.similarity * len(tokens) - 1e-9 and k >= 0:
+                template, changed = self.templates[k], []
                 for i, t in enumerate(tokens):
                     if template[i] != t and template[i] != WILD:
                         template[i] = WILD
-                        if self.grid is not None:
-                            self.grid[k, i] = 0
-                self.members[k].append(key)
+                        changed.append(i)
+                if changed and self.grid is not None:
+                    self.grid[k, changed] = 0
+                    if self.blocks:
+                        self._post(k, {j for j, block in enumerate(self.blocks) if not set(block).isdisjoint(changed)})
                 return k
         self.templates.append(tokens)
-        self.members.append([key])
         k = len(self.templates) - 1
         if self.grid is not None:
             if k >= len(self.grid):
                 self.grid = np.concatenate([self.grid, np.zeros_like(self.grid)])
             self.grid[k] = self._coded(tokens)
+            if self.blocks:
+                self._post(k, set(range(len(self.blocks))))
+        return k
+
+    def put(self, key: tuple[int, int], line: str) -> int:
+        """As place, with the key kept in `members`."""
+        k = self.place(line)
+        if k == len(self.members):
+            self.members.append([])
+        self.members[k].append(key)
         return k
 
 
-JOINED = "leaf long, a long, b long, ta long, tb long, line string"
+class Leaf:
+    """The templates of a leaf and their first keys."""
 
+    def __init__(self, similarity: float, crowd: int) -> None:
+        self.tree, self.firsts = LeafTemplates(similarity, crowd), array("q")
 
-def grouped_lines(texts: DataFrame, similarity: float) -> DataFrame:
-    """texts (leaf, part, a, b, line) -> JOINED rows: each key with its template's first key (itself for the first, whose
-    row has the template's text). Lines meet if leaf and part are equal. A key may come repeatedly; leaves whose hashes
-    are equal are kept apart. A line that is alone has no row."""
-    dealt = texts.repartition(F.col("leaf"), F.col("part")).sortWithinPartitions("leaf", "part", "a", "b")
-    types = [pa.int64()] * 5 + [pa.string()]
+    def put(self, key: tuple[int, int], line: str) -> tuple[int, int] | None:
+        """The first key of the template that the line joins; none if it starts one."""
+        k = 2 * self.tree.place(line)
+        if k == len(self.firsts):
+            self.firsts.extend(key)
+            return None
+        return self.firsts[k], self.firsts[k + 1]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, last, alone, leaves = None, None, None, {}
 
-        def put(key: tuple[int, int], line: str) -> None:
-            leaves.setdefault(leaf_of(line), LeafTemplates(similarity)).put(key, line)
+JOINED = "a long, b long, ta long, tb long"
 
-        def end() -> list[tuple]:
-            if alone is not None:
-                return []
-            return [(place[0], *k, *ks[0], " ".join(t) if k == ks[0] else None) for leaf in leaves.values() for t, ks in zip(leaf.templates, leaf.members, strict=True) for k in ks]
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["leaf", "a", "b", "ta", "tb", "line"])
+def grouped_lines(texts: DataFrame, similarity: float, crowd: int) -> DataFrame:
+    """texts (leaf, a, b, line) -> JOINED rows: each key that joins a template, with the template's first key. A key may come
+    repeatedly; leaves whose hashes are equal are kept apart."""
+    dealt = texts.repartition("leaf").sortWithinPartitions("leaf", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, last, alone = None, None, None
+        leaves: dict[tuple, Leaf] = {}
+        rows: list[tuple] = []
+
+        def put(key: tuple[int, int], line: str) -> None:
+            leaf = leaf_of(line)
+            if leaf not in leaves:
+                leaves[leaf] = Leaf(similarity, crowd)
+            first = leaves[leaf].put(key, line)
+            if first is not None:
+                rows.append((*key, *first))
 
         for batch in batches:
-            rows: list[tuple] = []
-            lines = batch.column(4)
-            for i, (leaf, part, *key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
-                if (leaf, part) != place:
-                    if place is not None:
-                        rows += end()
-                    place, last, leaves, alone = (leaf, part), key, {}, (tuple(key), lines[i])
+            lines = batch.column(3)
+            for i, (leaf, *key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if leaf != place:
+                    place, last, leaves, alone = leaf, key, {}, (tuple(key), lines[i])
                 elif key != last:
                     if alone is not None:
                         put(alone[0], alone[1].as_py())
@@ -201,48 +292,15 @@ def grouped_lines(texts: DataFrame, similarity: float) -> DataFrame:
             if alone is not None:
                 alone = (alone[0], pa.scalar(alone[1].as_py()))  # a copy, so that the batch can go
             if rows:
-                yield batch_of(rows)
-        if place is not None and (rows := end()):
-            yield batch_of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "b", "ta", "tb"])
+                rows = []
 
-    return dealt.select("leaf", "part", "a", "b", "line").mapInArrow(run, JOINED)
+    return dealt.select("leaf", "a", "b", "line").mapInArrow(run, JOINED)
 
 
 def leaf_templates(texts: DataFrame, similarity: float, crowd: int = CROWD) -> DataFrame:
     """texts (leaf, a, b, line) -> (a, b, ta, tb): lines that share a template with another one, and its first key."""
-    whole = F.lit(0).cast("long").alias("part")
-    crowded = written(texts.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > crowd), "crowded-leaves")
-    shared = (F.col("a") != F.col("ta")) | (F.col("b") != F.col("tb"))
-    if crowded.isEmpty():
-        out = written(grouped_lines(texts.select("leaf", whole, "a", "b", "line"), similarity), "templates")
-        return _with_firsts(out.filter(shared).select("a", "b", "ta", "tb"))
-    plain = texts.join(crowded, "leaf", "left_anti").select("leaf", whole, "a", "b", "line")
-    settled = written(grouped_lines(plain, similarity), "templates").filter(shared).select("a", "b", "ta", "tb")
-    open_lines = texts.join(crowded, "leaf").dropDuplicates(["leaf", "a", "b"]).select("leaf", "a", "b", "line", F.col("n"))
-    links, k = None, 0
-    while True:
-        parts = F.pmod(F.xxhash64("a", "b", F.lit(k)), F.ceil(F.col("n") / crowd).cast("long")).alias("part")
-        dealt = written(open_lines.select("leaf", parts, "a", "b", "line", "n"), "crowded-lines")
-        found = written(grouped_lines(dealt.select("leaf", "part", "a", "b", "line"), similarity), "templates")
-        moved = found.filter(shared).select("a", "b", "ta", "tb")
-        if links is None:
-            links = moved
-        else:  # what pointed to a template that has joined another one now points on
-            later = moved.select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("ta").alias("na"), F.col("tb").alias("nb"))
-            onward = links.join(later, ["ta", "tb"], "left").select("a", "b", F.coalesce("na", "ta").alias("ta"), F.coalesce("nb", "tb").alias("tb"))
-            links = written(onward.unionByName(moved), "templates")
-        rest = found.filter(~shared).select("leaf", "a", "b", "line")
-        counts = written(rest.groupBy("leaf").agg(F.count("*").alias("m")), "crowded-leaves")
-        before = dealt.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("lines"), F.max("part").alias("last"))
-        again = written(counts.join(before, "leaf").filter((F.col("last") > 0) & (F.col("m") < F.col("lines") * 0.99)).select("leaf", F.col("m").alias("n")), "crowded-leaves")
-        k += 1
-        if again.isEmpty():
-            return _with_firsts(settled.unionByName(links))
-        open_lines = rest.join(again, "leaf")
-
-
-def _with_firsts(moved: DataFrame) -> DataFrame:
-    """The keys that joined a template, and the first keys they joined."""
+    moved = written(grouped_lines(texts, similarity, crowd), "templates")
     return moved.unionByName(moved.select(F.col("ta").alias("a"), F.col("tb").alias("b"), "ta", "tb").distinct())
 
 

@@ -326,3 +326,35 @@ def test_packing_merges_what_merging_tasks_leave_open(spark, monkeypatch):
         assert [a for a, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 64
     fills = sorted(sum(n for _, n in parts) for parts in bins.values())
     assert fills[0] + fills[1] > 64 and len(bins) <= -(-sum(fills) // 64) + 4
+
+
+def test_crowded_leaves_match_brute_force(spark):
+    """A leaf of very many shapes, each in a few documents, is joined as in one pass over its lines, however few may be compared at once."""
+    import random
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "abcdefghijkl" for b in "mnopqr"]
+    shapes = [[rng.choice(words) for _ in range(rng.choice([1, 2, 7, 7, 9]))] for _ in range(150)]
+    rows = []
+    for k in range(120):
+        lines = [["the", "same", "start", *rng.choice(shapes)] for _ in range(5)]
+        for line in lines:
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                line[rng.randrange(3, len(line))] = rng.choice([*words, "7"])
+        rows.append((k, "\n".join(map(" ".join, lines))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = sorted(slow_line_dedup(rows))
+    assert plain != sorted(rows)
+    for crowd in (20, 10**6):
+        assert sorted((r["doc_id"], r["text"]) for r in line_templates.dedup(frame, crowd=crowd).collect()) == plain
+
+
+def test_many_numbers_by_hash(monkeypatch):
+    monkeypatch.setattr(line_templates, "RECENT", 3)
+    posts, plain = line_templates.Postings(), {}
+    for n in range(50):
+        posts.add(hash((n * n % 7,)), n)
+        plain.setdefault(n * n % 7, []).append(n)
+    assert len(posts.runs) < 6
+    for keys in ([1], [0, 2, 4], [3], []):
+        assert sorted(posts.of([hash((k,)) for k in keys]).tolist()) == sorted(n for k in keys for n in plain.get(k, []))
