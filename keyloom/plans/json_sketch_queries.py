@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.functions.shared import written
 from keyloom.operators import json_docs as j
 from keyloom.operators import sketches as k
 from keyloom.plans.views import jsn, query, table
@@ -120,9 +121,13 @@ query("topk_fold", "", "SELECT key, string_agg(cnt::VARCHAR, ',' ORDER BY cnt DE
 def grown(s, d):
     """A growing filter, written out in chunks and loaded again."""
     ordered = table(s, d, "lineitem").select((F.col("l_suppkey") % 20).alias("key"), F.col("l_partkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
-    return k.bloom_loadchunk(k.bloom_scandump(k.bloom_grow(ordered, "o", 100), 64))
+    return k.bloom_loadchunk(written(k.bloom_scandump(k.bloom_grow(ordered, "o", 100), 64), "bloom-chunks"))
 
 
-query("bloom_grow", "", "SELECT l_suppkey % 20 AS key, ceil(log2(count(DISTINCT l_partkey) / 100.0 + 1))::BIGINT AS layers, 1 AS found FROM lineitem GROUP BY 1")(
-    lambda s, d: k.bloom_grow_exists(grown(s, d), pairs(s, d).distinct()).groupBy("key").agg(F.min("found").alias("found")).join(grown(s, d).groupBy("key").agg(F.count_distinct("layer").alias("layers")), "key")
-)
+def grown_asked(s, d):
+    bloom = grown(s, d)
+    found = k.bloom_grow_exists(bloom, pairs(s, d).distinct()).groupBy("key").agg(F.min("found").alias("found"))
+    return found.join(bloom.groupBy("key").agg(F.count_distinct("layer").alias("layers")), "key")
+
+
+query("bloom_grow", "", "SELECT l_suppkey % 20 AS key, ceil(log2(count(DISTINCT l_partkey) / 100.0 + 1))::BIGINT AS layers, 1 AS found FROM lineitem GROUP BY 1")(grown_asked)
